@@ -117,7 +117,7 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def known_language(docs: DataFrame, min_score: float = 0.5, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
+def known_language(docs: DataFrame, min_score: float = 0.0, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs whose text is in a learned language, with docs' own columns."""
     predict = predictor(docs.sparkSession, fit(docs.where(~held_out(id_col)), lang, text, id_col))
     judged = docs.withColumn("__lang", predict(F.col(text)))
