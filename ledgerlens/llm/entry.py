@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language_id, packing, simhash, topk, url_filter
+from ledgerlens.llm import decontaminate, language_id, packing, simhash, substring_dedup, topk, url_filter
 from ledgerlens.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", language_id.held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_substrings(read_table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, max_bits=4)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -88,10 +93,21 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(w.n, 0) AS BI
 FROM docs d LEFT JOIN words w USING (doc_id) LEFT JOIN owners o USING (doc_id)
 """
 
+OP7_SQL = """
+WITH docs AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS p FROM docs, unnest(range(1, greatest(1, len(ws) - 11))) t(i)),
+first AS (SELECT p, min(doc_id) AS m FROM windows GROUP BY p),
+gone AS (SELECT DISTINCT doc_id, k FROM (SELECT w.doc_id, unnest(range(i, i + 13)) AS k FROM windows w JOIN first f ON w.p = f.p AND f.m < w.doc_id)),
+words AS (SELECT doc_id, k, ws[k] AS w FROM docs, unnest(range(1, len(ws) + 1)) t(k)),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY k) AS s, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(d.ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.s, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op10_simhash)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL}
+    return {"op1_topk": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_substring_dedup": OP7_SQL}
