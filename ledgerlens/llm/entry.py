@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language_id, packing, simhash, substring_dedup, topk, url_filter
+from ledgerlens.llm import decontaminate, language_id, packing, pseudonyms, simhash, substring_dedup, topk, url_filter
 from ledgerlens.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
 
+#: A deployment passes a secret of its own.
+PSEUDONYM_KEY = b"ledgerlens example key"
+
 #: Host and path of each rule, with its verdict.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -51,6 +54,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pseudonyms.pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.transform("found", lambda x: x["kind"]).alias("kinds"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=4, max_bits=4)
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
@@ -106,7 +114,7 @@ FROM docs d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op10_simhash)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op9_pseudonyms, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
