@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language_id, packing, pseudonyms, simhash, substring_dedup, topk, url_filter
+from ledgerlens.llm import decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, topk, url_filter
 from ledgerlens.llm.common import read_table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -54,6 +54,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"), into="removed")
+    return found.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"))
+
+
 def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pseudonyms.pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
     return found.select("doc_id", "text", F.size("found").cast("long").alias("n_found"), F.transform("found", lambda x: x["kind"]).alias("kinds"))
@@ -114,7 +119,7 @@ FROM docs d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op9_pseudonyms, op10_simhash)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
