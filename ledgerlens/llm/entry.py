@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, topk, url_filter
-from ledgerlens.llm.common import read_table
+from ledgerlens.llm import decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, token_output, topk, url_filter
+from ledgerlens.llm.common import read_table, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
 #: A deployment passes a secret of its own.
 PSEUDONYM_KEY = b"ledgerlens example key"
 
+#: Another key gives another order of training.
+TRAINING_ORDER_KEY = b"epoch 1"
+
 #: Host and path of each rule, with its verdict.
 URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
 
@@ -49,6 +54,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", language_id.held_out().alias("held_out"), predict("text").alias("p")).select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.write_shards(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), TRAINING_ORDER_KEY, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.repeated_substrings(read_table(spark, sf_dir, "documents"), with_text=False)
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -119,7 +128,7 @@ FROM docs d LEFT JOIN kept k USING (doc_id)
 
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op6_token_output, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -121,6 +121,21 @@ def pack_block(docs: list[tuple[int, np.ndarray]], ends: np.ndarray, first: int,
     return out, (number + 1 if at else first)
 
 
+def blocks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """Documents (id, tokens with the separator) in blocks of about BLOCK tokens. Batches: id, text."""
+    held, tokens = [], 0
+    for batch in batches:
+        for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids = np.append(words.ids(value.as_py() or ""), SEPARATOR).astype(np.int32)
+            held.append((doc, ids))
+            tokens += len(ids)
+            if tokens >= BLOCK:
+                yield held
+                held, tokens = [], 0
+    if held:
+        yield held
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, sequence_tokens.
 
@@ -130,23 +145,35 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(tokenizer)
-        ends = words.sentence_ends()
-        held, tokens, number = [], 0, TaskContext.get().partitionId() << 40
-
-        def flush():
-            columns, after = pack_block(held, ends, number, length)
-            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], names=list(columns)), after
-
-        for batch in batches:
-            for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(words.ids(value.as_py() or ""), SEPARATOR).astype(np.int32)
-                held.append((doc, ids))
-                tokens += len(ids)
-                if tokens >= BLOCK:
-                    out, number = flush()
-                    yield out
-                    held, tokens = [], 0
-        if held:
-            yield flush()[0]
+        ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
+        for held in blocks(batches, words):
+            columns, number = pack_block(held, ends, number, length)
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], names=list(columns))
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, width: int = 2) -> DataFrame:
+    """One row a sequence: sequence_id, n_tokens, pieces and ids, `length` unsigned little-endian integers of `width` bytes, padded with the separator."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(tokenizer)
+        ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
+        if len(ends) - 2 >= 1 << (8 * width):
+            raise ValueError(f"the vocabulary has ids beyond {width} bytes")
+        for held in blocks(batches, words):
+            columns, number = pack_block(held, ends, number, length)
+            first = np.flatnonzero(np.diff(np.array(columns["sequence_id"]), prepend=-1))
+            sizes = np.array(columns["sequence_tokens"], np.int64)[first]
+            tokens, at, ids = np.concatenate([x for _, x in held]).astype(f"<u{width}"), 0, []
+            for n in sizes.tolist():
+                row = np.full(length, SEPARATOR, f"<u{width}")
+                row[:n] = tokens[at : at + n]
+                ids.append(row.tobytes())
+                at += n
+            offsets = pa.array([*first, len(columns["doc_id"])], pa.int32())
+            pieces = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(columns[k], pa.int64()) for k in ("doc_id", "start", "length")], ["doc_id", "start", "length"]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(columns["sequence_id"])[first], pa.int64()), pa.array(sizes), pieces, pa.array(ids, pa.binary())], names=["sequence_id", "n_tokens", "pieces", "ids"])
+
+    schema = "sequence_id long, n_tokens long, pieces array<struct<doc_id:long,start:long,length:long>>, ids binary"
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, schema)
