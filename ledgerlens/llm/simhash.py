@@ -183,3 +183,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     found = components(links(classes.where("rep is not null"), max_bits, blocks))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def first_of_each_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs without those whose group has a smaller id, with docs' own columns. Of rows with one id, one stays if their group's smallest id is theirs; rows with null id stay."""
+    groups = near_duplicates(docs, id_col, text, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
+    left = docs.join(groups, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left_anti")
+    once = left.where(F.col(f"`{id_col}`").isNotNull()).dropDuplicates([id_col])
+    return once.unionByName(left.where(F.col(f"`{id_col}`").isNull()))
