@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.rates", "operators.thresholds"]
+MODULES = ["operators.rates", "operators.thresholds", "operators.rules", "operators.sequences"]
 
 
 def _all(what: str) -> dict:
