@@ -31,7 +31,9 @@ from ledgerlens.llm.common import slices, stored, utf8
 
 WINDOW = 13
 SEED_WORDS = 5
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+#: Texts are worked in pieces of about so many bytes, which bounds the arrays beside them.
+PIECE_BYTES = 4 << 20
 _POWERS = [np.array([pow(m, i, 2**64) for i in range(1024)], np.uint64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -90,7 +92,7 @@ def _anchor_rows(window: int, with_id: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PIECE_BYTES):
                 found = Windows([t.split() for t in utf8(part.column(1))], window, cache)
                 at = _distinct(found.owner, found.anchor)
                 out = [pa.array(found.anchor[at], pa.int64())]
@@ -107,7 +109,7 @@ def _run_rows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PIECE_BYTES):
                 found = Windows([t.split() for t in utf8(part.column(1))], window, cache)
                 shared = part.column(2)
                 edges = np.searchsorted(found.owner, np.arange(part.num_rows + 1))
@@ -127,7 +129,7 @@ def _removal_rows(window: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, PIECE_BYTES):
                 repeats = part.column(2)
                 words = [(t or b"").split() for t in utf8(part.column(1))]
                 marked = [i for i in range(part.num_rows) if repeats[i].is_valid]
