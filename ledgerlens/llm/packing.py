@@ -17,6 +17,8 @@ from __future__ import annotations
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ SENTENCE_PENALTY = 4
 STRIDE_PENALTY = 32
 STRIDE = 128
 BLOCK = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long"
 
 
@@ -41,21 +43,18 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.numbers = list(range(max(self.tokenizer.get_vocab().values()) + 1))  # one object for each id
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        ids = tuple(map(self.numbers.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        out: list[int] = []
-        for line in text.split("\n"):
-            for word in line.split(" "):
-                out += self[word]
-        return np.array(out, np.int32)
+        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
 
     def sentence_ends(self) -> np.ndarray:
         """Flags, by id, of the tokens that end with a full stop, exclamation or question mark."""
@@ -66,6 +65,12 @@ class Words(dict):
         return flags
 
 
+@cache
+def words_of(path: str) -> Words:
+    """A Python worker's own, for all tasks that it runs."""
+    return Words(path)
+
+
 def cut_points(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Positions after which a document may be cut, its end last, and whether each is a sentence's end."""
     stops = np.flatnonzero(ends[ids[:-1]]) + 1
@@ -144,7 +149,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
         for held in blocks(batches, words):
             columns, number = pack_block(held, ends, number, length)
@@ -157,7 +162,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str
     """One row a sequence: sequence_id, n_tokens, pieces and ids, `length` unsigned little-endian integers of `width` bytes, padded with the separator."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(tokenizer)
+        words = words_of(tokenizer)
         ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
         if len(ends) - 2 >= 1 << (8 * width):
             raise ValueError(f"the vocabulary has ids beyond {width} bytes")
