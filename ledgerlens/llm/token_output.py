@@ -33,6 +33,8 @@ ROUNDS = 6
 #: Sequences of a shard: 16 MiB at 2,048 ids of two bytes.
 SHARD_ROWS = 4096
 WIDTH = 2
+#: Offsets of so many partitions (two longs each) are broadcast; of more they are joined by a shuffle.
+MAX_BROADCAST_PARTITIONS = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,6 +84,8 @@ def numbered(rows: DataFrame) -> DataFrame:
         firsts.append((r["part"], total))
         total += r["count"]
     offsets = rows.sparkSession.createDataFrame(firsts, "part long, before long")
+    if len(firsts) <= MAX_BROADCAST_PARTITIONS:
+        offsets = F.broadcast(offsets)
     return rows.withColumn("part", part).join(offsets, "part").withColumn("number", F.col("before") + F.col("sequence_id").bitwiseAND(F.lit((1 << 40) - 1))).drop("part", "before")
 
 
