@@ -14,6 +14,8 @@ lies in exactly one piece; pieces of a sequence leave no gap. Extra columns play
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -36,19 +38,46 @@ CACHED_WORDS = 800_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long"
 
 
+#: What the tokenizer takes apart in any case: runs of letters, single digits, runs of other signs.
+_ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
+_LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
+
+
 class Words(dict):
-    """Token ids by chunk of text without blank or line feed: the tokenizer drops white space and never joins across it."""
+    """Token ids by chunk of text without blank or line feed: the tokenizer drops white space and never joins across it.
+
+    With a tokenizer that lower-cases and takes letters, digits and other signs apart, chunks are made of the ids of
+    their parts, so that a word costs one encoding whatever its capitals and the signs after it. Chunks with apostrophes,
+    letters that change in number when normalised or lower-cased, or signs inside non-ASCII text go to the tokenizer whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.numbers = list(range(max(self.tokenizer.get_vocab().values()) + 1))  # one object for each id
+        self.takes_apart = all(self._encoded(x) == self._encoded(y) + self._encoded(z) for x, y, z in (("Word,", "word", ","), ("word1", "word", "1"), ("12", "1", "2"), ("1a", "1", "a"), ("Ab.)", "ab", ".)"), ("(été", "(", "été")))
+
+    def _encoded(self, chunk: str) -> tuple[int, ...]:
+        return tuple(map(self.numbers.__getitem__, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
+
+    def _parts(self, chunk: str) -> list[str] | tuple[str, ...]:
+        if not self.takes_apart or "'" in chunk:
+            return [chunk]
+        if chunk.isascii():
+            return _ASCII_PARTS(chunk.lower())
+        if "İ" in chunk or not unicodedata.is_normalized("NFC", chunk):
+            return [chunk]
+        if "A" <= chunk[0] <= "Z" and chunk[1].isalpha():
+            return [chunk[0].lower() + chunk[1:]]
+        found = _LETTERS_THEN_SIGNS(chunk)
+        return found.groups() if found else [chunk]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = tuple(map(self.numbers.__getitem__, self.tokenizer.encode(word, add_special_tokens=False).ids))
+        parts = self._parts(word)
+        ids = tuple(chain.from_iterable(map(self.__getitem__, parts))) if list(parts) != [word] else self._encoded(word)
         if len(word) <= 64:
             self[word] = ids
         return ids

@@ -136,3 +136,16 @@ def test_pipeline_keeps_columns(spark):
         out = stage(spark, docs, SMALL)
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out.persist()
+
+
+def test_tokens_from_parts_equal_whole_encodings():
+    import random
+
+    import public_tokenizers
+
+    words, made = packing.Words(public_tokenizers.path(entry.TOKENIZER)), random.Random(1)
+    assert words.takes_apart
+    signs = "aAbBzZ019'.,-_éÉñß́̊WwİσΣς§½²٣\t中ǅ%@( ​क़"
+    for _ in range(30_000):
+        text = "".join(made.choice(signs) for _ in range(made.randint(0, 9)))
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
