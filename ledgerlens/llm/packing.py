@@ -19,7 +19,7 @@ import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -34,7 +34,7 @@ SENTENCE_PENALTY = 4
 STRIDE_PENALTY = 32
 STRIDE = 128
 BLOCK = 1 << 20
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long"
 
 
@@ -85,6 +85,7 @@ class Words(dict):
     def ids(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
 
+    @cached_property
     def sentence_ends(self) -> np.ndarray:
         """Flags, by id, of the tokens that end with a full stop, exclamation or question mark."""
         vocabulary = self.tokenizer.get_vocab()
@@ -105,8 +106,12 @@ def cut_points(ids: np.ndarray, ends: np.ndarray, stride: int = STRIDE) -> tuple
     stops = np.flatnonzero(ends[ids[:-1]]) + 1
     edges = np.concatenate(([0], stops, [len(ids)]))
     inner = [np.arange(a + stride, b, stride) for a, b in zip(edges[:-1], edges[1:]) if b - a > stride] if np.diff(edges).max(initial=0) > stride else []
-    at = np.unique(np.concatenate([stops, *inner, [len(ids)]]))
-    return at, np.isin(at, stops)
+    at = np.concatenate([stops, *inner, [len(ids)]])  # no point stands twice: strides lie between stops, stops before the end
+    sentence = np.arange(len(at)) < len(stops)
+    if inner:
+        order = np.argsort(at)
+        at, sentence = at[order], sentence[order]
+    return at, sentence
 
 
 def best_cuts(at: list[int], penalty: list[int], length: int = LENGTH) -> list[int]:
@@ -179,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
-        ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
+        ends, number = words.sentence_ends, TaskContext.get().partitionId() << 40
         for held in blocks(batches, words):
             columns, number = pack_block(held, ends, number, length)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in columns.values()], names=list(columns))
@@ -192,7 +197,7 @@ def sequences(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = words_of(tokenizer)
-        ends, number = words.sentence_ends(), TaskContext.get().partitionId() << 40
+        ends, number = words.sentence_ends, TaskContext.get().partitionId() << 40
         if len(ends) - 2 >= 1 << (8 * width):
             raise ValueError(f"the vocabulary has ids beyond {width} bytes")
         for held in blocks(batches, words):
