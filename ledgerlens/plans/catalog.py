@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "functions.scalars"]
+MODULES = ["operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "operators.registers", "functions.scalars"]
 
 
 def _all(what: str) -> dict:
