@@ -57,14 +57,14 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> It
             yield batch.slice(a, b - a)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder and read again: lost executors cost no earlier step, and its shuffle files go at once."""
+def stored(df: DataFrame, level: int = 3) -> DataFrame:
+    """df written as a table in the shared folder and read again: lost executors cost no earlier step, and its shuffle files go at once. level: of compression."""
     spark = df.sparkSession
     path, cleanup = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup)
     spark.conf.set(cleanup, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)

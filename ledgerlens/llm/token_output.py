@@ -128,7 +128,7 @@ def _writer(folder: str, shard_rows: int):
 
 def write_shards(docs: DataFrame, tokenizer: str, key: bytes, folder: str, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, width: int = WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Write the shards and layout.json into folder, which all executors reach. Returns a row a sequence: slot, shard, byte_offset, sequence_id, n_tokens, pieces (doc_id, start, length), row_crc32."""
-    rows = numbered(stored(sequences(docs, tokenizer, id_col, text, length, width)))
+    rows = numbered(stored(sequences(docs, tokenizer, id_col, text, length, width), level=9))
     n = rows.count()
     shards = max(1, -(-n // shard_rows))
     fs, root = _open(folder)
