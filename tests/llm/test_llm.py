@@ -149,3 +149,42 @@ def test_tokens_from_parts_equal_whole_encodings():
     for _ in range(30_000):
         text = "".join(made.choice(signs) for _ in range(made.randint(0, 9)))
         assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+def test_near_duplicates_by_brute_force(spark, odd, none):
+    import random
+
+    import corpus_pipeline
+    from ledgerlens.llm import shingles
+
+    made = random.Random(3)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    for k in range(150):
+        base = [made.choice("abcdefghij") + str(made.randint(0, 400)) for _ in range(made.randint(5, 200))]
+        docs.append((10_000 + 10 * k, " ".join(base)))
+        for m in range(made.randint(1, 3)):  # a chain of ever further copies
+            for _ in range(made.randint(1, 4)):
+                base[made.randrange(len(base))] = f"new{made.randint(0, 10**6)}"
+            docs.append((10_001 + 10 * k + m, " ".join(base)))
+    sets = {d: {w[i : i + 5] for w in [tuple((t or "").lower().split())] for i in range(max(1, len(w) - 4)) if w} for d, t in docs}
+    parent, ids, pairs = {d: d for d in sets}, sorted(sets), 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            shared = len(sets[a] & sets[b])
+            if 9 * shared >= 4 * (len(sets[a]) + len(sets[b])):
+                pairs += 1
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    assert pairs > 100
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, table, SMALL).collect()) == [d for d in ids if find(d) == d]
+    kept = [r.doc_id for r in shingles.first_of_each_group(odd).collect()]
+    assert kept.count(4) == 1 and kept.count(1) == 1 and 2 not in kept and kept.count(None) == 1
+    assert shingles.first_of_each_group(none).count() == 0
+    twins = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z")], "doc_id long, text string")
+    assert sorted(r.text for r in shingles.first_of_each_group(twins).collect()) == ["a b c d e f", "u v w x y z"]
