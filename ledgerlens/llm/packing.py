@@ -48,13 +48,18 @@ class Words(dict):
 
     With a tokenizer that lower-cases and takes letters, digits and other signs apart, chunks are made of the ids of
     their parts, so that a word costs one encoding whatever its capitals and the signs after it. Chunks with apostrophes,
-    letters that change in number when normalised or lower-cased, or signs inside non-ASCII text go to the tokenizer whole.
+    letters that change in number when normalised or lower-cased, signs inside non-ASCII text, or an added token of the
+    vocabulary (matched in the raw text) go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(re.search(r"\s", x) for x in added):
+            raise ValueError("the tokenizer has an added token with white space, which chunks would part")
+        self.has_added = re.compile("|".join(map(re.escape, added))).search if added else lambda chunk: None
         self.numbers = list(range(max(self.tokenizer.get_vocab().values()) + 1))  # one object for each id
         self.takes_apart = all(self._encoded(x) == self._encoded(y) + self._encoded(z) for x, y, z in (("Word,", "word", ","), ("word1", "word", "1"), ("12", "1", "2"), ("1a", "1", "a"), ("Ab.)", "ab", ".)"), ("(été", "(", "été")))
 
@@ -62,7 +67,7 @@ class Words(dict):
         return tuple(map(self.numbers.__getitem__, self.tokenizer.encode(chunk, add_special_tokens=False).ids))
 
     def _parts(self, chunk: str) -> list[str] | tuple[str, ...]:
-        if not self.takes_apart or "'" in chunk:
+        if not self.takes_apart or "'" in chunk or self.has_added(chunk):
             return [chunk]
         if chunk.isascii():
             return _ASCII_PARTS(chunk.lower())

@@ -188,3 +188,14 @@ def test_near_duplicates_by_brute_force(spark, odd, none):
     assert shingles.first_of_each_group(none).count() == 0
     twins = spark.createDataFrame([(1, "a b c d e f"), (1, "u v w x y z"), (2, "u v w x y z")], "doc_id long, text string")
     assert sorted(r.text for r in shingles.first_of_each_group(twins).collect()) == ["a b c d e f", "u v w x y z"]
+
+
+def test_added_tokens_keep_their_ids():
+    import random
+
+    words, made = packing.Words(entry.public_tokenizers.path(entry.TOKENIZER)), random.Random(2)
+    pieces = ["<|startoftext|>", "<|endoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "a", "Bé", "Word,", "é", "1", " ", "\n", "'s", "<", "|", "İ"]
+    assert words.ids("a <|endoftext|> b").tolist().count(49407) == 1
+    for _ in range(5_000):
+        text = "".join(made.choice(pieces) for _ in range(made.randint(0, 6)))
+        assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
