@@ -7,13 +7,13 @@ validation. Separators, letter case and length stay as they are.
 - card: 13 to 19 digits, with blanks or hyphens between groups, valid by Luhn's check digit, which is computed anew
 - iban: two letters, two check digits (mod 97, computed anew), 11 to 30 letters and digits
 - ssn: ddd-dd-dddd with allowed area, group and serial
-- phone: international (+, 10 to 15 digits, the country code stays) or ten digits in groups
+- phone: international (+, 10 to 15 digits in any groups, a country code that stands apart stays) or ten digits in groups
 - ip: four numbers up to 255
 - date: year-month-day, or day, month (either order) and year with `/`, `.` or `-`; permuted over the days of 1900 to 2099, or over all other days of the years 1 to 9999
 - email: letters and digits of the local part; the domain stays
 
 Defined results. Null text stays null, text without a find stays as it is. Overlapping finds: the leftmost, then the kind
-listed first. A date that fits both orders is read day first. Repeated rows are treated alike. Extra columns are kept.
+listed first. A card, IBAN or phone that number groups or capitals follow ends at the last group's end that makes it valid. A date that fits both orders is read day first. Repeated rows are treated alike. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -41,11 +41,13 @@ _PATTERNS = {
     "date": r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?:/[0-9]{1,2}/|\.[0-9]{1,2}\.|-[0-9]{1,2}-)[0-9]{4})(?![\w/-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.+])[0-9](?:[ -]?[0-9]){12,18}(?!\w)",
-    "phone": r"(?<![\w+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?(?!\w)",
+    "phone": r"(?<![\w+])(?:\+[0-9](?:[ .-]?(?:[0-9]|\([0-9]{1,4}\))){6,14}|(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?:[ .-]?[0-9]{2,4})?)(?!\w)",
 }
 _BY_KIND = {k: re.compile(p, re.ASCII) for k, p in _PATTERNS.items()}
 _AT = re.compile(r"@[A-Za-z0-9]", re.ASCII)
 _NUMBER = re.compile(r"(?<![\w])(?:[A-Z]{2}(?=[0-9]{2}[ A-Z0-9])|\+?\(?[0-9])", re.ASCII)
+#: Kinds whose pattern may run into what follows, and the characters they have at least.
+_LEAST = {"iban": 15, "card": 13, "phone": 10}
 #: Every find holds one of these.
 _HINT = re.compile(r"[0-9@]", re.ASCII)
 
@@ -104,7 +106,7 @@ def _only_digits(s: str) -> str:
 
 def _card(s: str, key: bytes) -> str | None:
     d = _only_digits(s)
-    if luhn_digit(d[:-1]) != d[-1] or not d.strip("0"):
+    if not 13 <= len(d) <= 19 or luhn_digit(d[:-1]) != d[-1] or not d.strip("0"):
         return None
     payload = permute_digits(d[:-1], key, "card")
     return poured(s, payload + luhn_digit(payload))
@@ -222,8 +224,8 @@ def replaced(text: str, key: bytes, seen: dict | None = None) -> tuple[str, list
         for kind, pattern in _BY_KIND.items():
             m = pattern.match(text, place)
             values = [m[0]] if m else []
-            if m and kind == "card":  # two numbers with a blank between them: the longest valid beginning
-                values = [v for n in range(m.end(), place + 12, -1) if (n == m.end() or text[n - 1].isdigit() and not text[n].isalnum()) and 13 <= len(_only_digits(v := text[place:n]))]
+            if m and kind in _LEAST:  # more groups may follow with a blank between: the longest valid beginning
+                values = [text[place:n] for n in range(m.end(), place + _LEAST[kind] - 1, -1) if n == m.end() or text[n - 1].isalnum() and not text[n].isalnum()]
             for value in values:
                 if (kind, value) not in seen:
                     if len(seen) > 100_000:

@@ -199,3 +199,17 @@ def test_added_tokens_keep_their_ids():
     for _ in range(5_000):
         text = "".join(made.choice(pieces) for _ in range(made.randint(0, 6)))
         assert words.ids(text).tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+@pytest.mark.parametrize("value, kind", [("DE89 3704 0044 0532 0130 00", "iban"), ("GB29NWBK60161331926819", "iban"), ("FR14 2004 1010 0505 0001 3M02 606", "iban"), ("+33 6 12 34 56 78", "phone"), ("+44 7911 123456", "phone"), ("+33612345678", "phone"), ("+1 (415) 555-2671", "phone"), ("+47 22 12 34 56", "phone"), ("+44 (0)20 7946 0958", "phone"), ("415-555-2671", "phone")])
+@pytest.mark.parametrize("after", ["", ".", " BIC COBADEFF", " 12 March", " ABC", ", 7", " and more"])
+def test_planted_ibans_and_phones(value, kind, after):
+    if kind == "phone" and value[0] == "+" and after == " 12 March":
+        after = " / 12 March"  # more groups of an international number may as well be its own
+    text = f"call or pay {value}{after}"
+    new, found = pseudonyms.replaced(text, b"k")
+    assert found == [{"kind": kind, "start": 12, "end": 12 + len(value)}]
+    assert len(new) == len(text) and new[:12] == text[:12] and new[12 + len(value) :] == after and value not in new
+    if kind == "iban":
+        plain = new[12 : 12 + len(value)].replace(" ", "")
+        assert pseudonyms.iban_check(plain[:2], plain[4:]) == plain[2:4]
