@@ -5,7 +5,12 @@ Windows are partitioned by run; what a run needs of its own past comes from runn
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.rates import rate
@@ -67,11 +72,42 @@ def gap_free(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("step").alias("distinct_steps"), F.max("step").alias("last_step")).where("n <> distinct_steps or last_step <> n - 1")
 
 
-def hash_chain(rows: DataFrame) -> DataFrame:
-    """h_i = sha256(h_{i-1} then the event), from h_0 = '', over the first 50 steps of each run's day. The last hash of each chain."""
-    event = F.concat_ws(":", "step", "action", "args")
-    chains = rows.withColumn("chunk", F.floor(F.col("step") / 50)).groupBy("run_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("step", event.alias("e")))).alias("es"))
-    return chains.select("run_id", "chunk", F.aggregate("es", F.lit(""), lambda h, x: F.sha2(F.concat(h, x["e"]), 256)).alias("hash"))
+def canonical(rows: DataFrame) -> Column:
+    """The event as canonical JSON: all columns but run_id and audit_hash, keys sorted, no blanks, times in ISO form."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for events in batches:
+            yield pa.array([json.dumps(e, sort_keys=True, separators=(",", ":"), ensure_ascii=False, default=lambda x: x.isoformat()) for e in events.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(F.struct(*[c for c in rows.columns if c not in ("run_id", "audit_hash")]))
+
+
+def hash_chain(rows: DataFrame, event: Column | None = None, seed: str = "") -> DataFrame:
+    """h_i = sha256(h_{i-1} then the event) over all events of a run by step, from h_0 = seed. The last hash of each run; a task holds one hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, begun, schema = None, seed, False, None
+        for batch in batches:
+            schema, ids, hashes = batch.schema, [], []
+            for run_id, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if begun and run_id != now:
+                    ids.append(now)
+                    hashes.append(h)
+                if not begun or run_id != now:
+                    now, h, begun = run_id, seed, True
+                h = hashlib.sha256((h + e).encode()).hexdigest()
+            yield pa.RecordBatch.from_arrays([pa.array(ids, schema.field(0).type), pa.array(hashes, pa.string())], names=["run_id", "hash"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([now], schema.field(0).type), pa.array([h], pa.string())], names=["run_id", "hash"])
+
+    events = rows.select("run_id", "step", (F.concat_ws(":", "step", "action", "args") if event is None else event).alias("e"))
+    ordered = events.repartition("run_id").sortWithinPartitions("run_id", "step", "e").select("run_id", "e")
+    return ordered.mapInArrow(run, f"run_id {rows.schema['run_id'].dataType.simpleString()}, hash string")
+
+
+def reference_chain(rows: DataFrame) -> DataFrame:
+    """The chain of the reference's trace contract: over canonical JSON, from 64 zeros."""
+    return hash_chain(rows, canonical(rows), "0" * 64)
 
 
 def state_at(rows: DataFrame) -> DataFrame:
@@ -146,7 +182,7 @@ QUERIES = {
     "win5_frozen_score": lambda s, d: frozen_score(steps(s, d)),
     "win11_sequence_gaps": lambda s, d: gap_free(steps(s, d)),
     "win12_merged_turns": turns,
-    "win13_hash_chain": lambda s, d: hash_chain(steps(s, d)),
+    "win13_hash_chain": lambda s, d: reference_chain(steps(s, d)),
     "win15_state_at": lambda s, d: state_at(steps(s, d)),
     "win16_sections": lambda s, d: sections(steps(s, d)),
     "win21_loops": lambda s, d: loops(steps(s, d)),

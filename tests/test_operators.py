@@ -1,6 +1,7 @@
 """Operators on rows whose result is known by hand."""
 
 import hashlib
+import json
 import math
 
 from ledgerlens.operators import rates, rules, sequences, thresholds
@@ -41,3 +42,26 @@ def test_hash_chain(spark):
 def test_repeat_needs_success_and_freshness(spark):
     rows = spark.createDataFrame([(1, 0, "read_email", "x", True, False), (1, 1, "read_email", "x", False, False), (1, 2, "read_email", "x", True, True), (1, 3, "read_email", "x", True, False)], "run_id long, step int, action string, args string, success boolean, stale boolean")
     assert [r.repeat for r in sequences.with_repeats(rows).orderBy("step").collect()] == [False, True, False, False]
+
+
+def test_hash_chain_of_a_long_run(spark):
+    events = [(r, i, f"a{i % 7}", 'é "x"') for r, n in ((1, 130), (2, 51), (3, 1)) for i in range(n)]
+
+    def last(rows, seed, text):
+        out = {}
+        for r, i, a, x in rows:
+            out[r] = hashlib.sha256((out.get(r, seed) + text(i, a, x)).encode()).hexdigest()
+        return out
+
+    def table(rows):
+        return spark.createDataFrame(rows[::-1], "run_id long, step int, action string, args string")
+
+    def canon(i, a, x):
+        return json.dumps({"step": i, "action": a, "args": x}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    assert {r.run_id: r.hash for r in sequences.hash_chain(table(events)).collect()} == last(events, "", lambda *e: ":".join(map(str, e)))
+    found = {r.run_id: r.hash for r in sequences.reference_chain(table(events)).collect()}
+    assert found == last(events, "0" * 64, canon)
+    changed = [(r, i, "other" if (r, i) == (1, 3) else a, x) for r, i, a, x in events]
+    again = {r.run_id: r.hash for r in sequences.reference_chain(table(changed)).collect()}
+    assert again[1] != found[1] and again[2] == found[2]
