@@ -213,3 +213,15 @@ def test_planted_ibans_and_phones(value, kind, after):
     if kind == "iban":
         plain = new[12 : 12 + len(value)].replace(" ", "")
         assert pseudonyms.iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def test_rare_languages_are_learned_whole_and_unlearned_ones_go(spark):
+    rows = [(i, f"the water and the house {i}", "en") for i in range(5_000)] + [(5_000 + i, f"вода и дом {i} земля", "ru") for i in range(30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, prior, matrix = language_id.fit(table, max_rows=200)
+    alone = language_id.fit(table.where("lang = 'ru'"))[2]
+    assert langs == ["en", "ru"] and np.allclose(matrix[1], alone[0]) and np.allclose(np.exp(prior), [5000 / 5030, 30 / 5030])
+    assert [language_id.equal_quota(*x) for x in (([5, 1], 6), ([5, 3], 6), ([9, 1, 9], 11))] == [float("inf"), 3, 5]
+    other = spark.createDataFrame([(6_000, "το νερό και το σπίτι είναι εδώ", None), (6_001, "the house and the water", None)], table.schema)
+    kept = {r.doc_id for r in language_id.known_language(table.union(other)).collect()}
+    assert 6_000 not in kept and 6_001 in kept and len(kept) >= 5_020
