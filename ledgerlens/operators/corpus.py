@@ -28,17 +28,27 @@ def seeded_order(seed: str, salt: str, key: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:{salt}:"), key.cast("string")), 256)
 
 
+def ranked_in_bands(rows: DataFrame, group: str) -> DataFrame:
+    """rn, the rank of a row within its group by its hash h, and n, the group's size. Groups are ranked band by band of h, so a hot one is no single task's."""
+    banded = rows.withColumn("band", F.substring("h", 1, 3))
+    sizes = banded.groupBy(F.col(group).alias("g"), F.col("band").alias("b")).agg(F.count("*").alias("in_band"))
+    w = Window.partitionBy("g")
+    before = F.coalesce(F.sum("in_band").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("g", "b", before.alias("before"), F.sum("in_band").over(w).alias("n"))
+    within = F.row_number().over(Window.partitionBy(group, "band").orderBy("h"))
+    joined = banded.withColumn("rn", within).join(offsets, F.col(group).eqNullSafe(F.col("g")) & F.col("band").eqNullSafe(F.col("b")))
+    return joined.withColumn("rn", (F.col("rn") + F.col("before")).cast("int")).drop("g", "b", "band", "before")
+
+
 def least_exposed(pool: DataFrame, n: int, seed: str) -> DataFrame:
     """n samples, least-exposed documents first, seeded ties: the rank of a sample within its document is the exposure that it adds."""
-    order = seeded_order(seed, "pool", F.col("sample_id"))
-    ranked = pool.withColumn("h", order).withColumn("level", F.row_number().over(Window.partitionBy("document").orderBy("h")))
-    return ranked.orderBy("level", "h").limit(n).select("sample_id", "document", "level")
+    ranked = ranked_in_bands(pool.withColumn("h", seeded_order(seed, "pool", F.col("sample_id"))), "document")
+    return ranked.withColumnRenamed("rn", "level").orderBy("level", "h").limit(n).select("sample_id", "document", "level")
 
 
 def stratified(pool: DataFrame, stratum: str, fraction: float, seed: str) -> DataFrame:
     """max(1, round(n fraction)) samples of each stratum in seeded order."""
-    w = Window.partitionBy(stratum)
-    ranked = pool.withColumn("rn", F.row_number().over(w.orderBy(seeded_order(seed, "stratum", F.col("sample_id"))))).withColumn("n", F.count("*").over(w))
+    ranked = ranked_in_bands(pool.withColumn("h", seeded_order(seed, "stratum", F.col("sample_id"))), stratum)
     return ranked.where(F.col("rn") <= F.greatest(F.lit(1), F.round(F.col("n") * fraction))).select("sample_id", stratum)
 
 

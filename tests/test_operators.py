@@ -4,7 +4,7 @@ import hashlib
 import json
 import math
 
-from ledgerlens.operators import rates, rules, sequences, thresholds
+from ledgerlens.operators import corpus, rates, rules, sequences, thresholds
 from pyspark.sql import functions as F
 
 
@@ -65,3 +65,15 @@ def test_hash_chain_of_a_long_run(spark):
     changed = [(r, i, "other" if (r, i) == (1, 3) else a, x) for r, i, a, x in events]
     again = {r.run_id: r.hash for r in sequences.reference_chain(table(changed)).collect()}
     assert again[1] != found[1] and again[2] == found[2]
+
+
+def test_a_hot_stratum_is_ranked_by_several_tasks(spark):
+    pool = spark.createDataFrame([(i, "hot" if i % 10 else None) for i in range(3000)], "sample_id long, stratum string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = corpus.stratified(pool, "stratum", 0.5, "s").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    order = sorted((i for i in range(3000) if i % 10), key=lambda i: hashlib.sha256(f"s:stratum:{i}".encode()).hexdigest())
+    assert {r.sample_id for r in found if r.stratum} == set(order[:1350]) and sum(r.stratum is None for r in found) == 150
+    assert len({r.task for r in found if r.stratum}) > 1
