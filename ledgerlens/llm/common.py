@@ -17,9 +17,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session that runs on one machine may leave it unset and gets a temporary one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and sc.getCheckpointDir() is None and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="ledgerlens-"))
     return named or sc.getCheckpointDir()
@@ -37,12 +39,6 @@ def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return f"{base}/{name}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
@@ -57,14 +53,34 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> It
             yield batch.slice(a, b - a)
 
 
+class Tables:
+    """Tables in the shared folder that one operator's steps leave for the next ones.
+
+    A lost executor costs no step that has ended in a table, and the step's shuffle files go at once. Each table is
+    dropped by its name after its last reader; those that a returned DataFrame reads stay.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def store(self, name: str, df: DataFrame, level: int = 3) -> DataFrame:
+        """df, written and read again. level: of compression."""
+        path, cleanup = f"{shared_dir(self.spark)}/table-{name}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        self.paths[name] = path
+        before = self.spark.conf.get(cleanup)
+        self.spark.conf.set(cleanup, "true")
+        try:
+            df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
+        finally:
+            self.spark.conf.set(cleanup, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, level: int = 3) -> DataFrame:
-    """df written as a table in the shared folder and read again: lost executors cost no earlier step, and its shuffle files go at once. level: of compression."""
-    spark = df.sparkSession
-    path, cleanup = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup)
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table that stays."""
+    return Tables(df.sparkSession).store("kept", df, level)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed
+from ledgerlens.llm.common import Tables
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -37,11 +37,13 @@ def _tidy(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """links: columns a and b, of one ordered type. Returns node, component for every node with a link to another; component is the smallest node reached."""
-    now = checkpointed(_tidy(links))
-    mark = None
+    tables, step = Tables(links.sparkSession), 0
+    now, mark = tables.store("links0", _tidy(links)), None
     while True:
-        now = checkpointed(_tidy(_small_star(_tidy(_large_star(now)))))
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        step += 1
+        new = tables.store(f"links{step}", _tidy(_small_star(_tidy(_large_star(now)))))
+        tables.drop(f"links{step - 1}")
+        now, seen = new, new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(seen) == mark or not seen[0]:
             break
         mark = tuple(seen)
