@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import checkpointed, utf8
+from ledgerlens.llm.common import stored, utf8
 from ledgerlens.llm.components import components
 
 SEED = 42
@@ -178,8 +178,8 @@ def links(classes: DataFrame, max_bits: int, blocks: int, chunk: int = CHUNK) ->
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, max_bits: int = 4, blocks: int = 6) -> DataFrame:
     """One row a row of docs: doc_id, fp (signed long), component_id (the smallest id reached over links of at most max_bits bits)."""
-    marked = checkpointed(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint_column(size)(F.col(f"`{text}`")).alias("fp")))
-    classes = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    marked = stored(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), fingerprint_column(size)(F.col(f"`{text}`")).alias("fp")))
+    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     found = components(links(classes.where("rep is not null"), max_bits, blocks))
     named = classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
