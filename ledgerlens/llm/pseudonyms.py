@@ -2,26 +2,31 @@
 
 Numbers and dates are found by pattern, validated, and replaced by a keyed Feistel permutation within their own format,
 so equal values get equal pseudonyms in every document, different values different ones, and a pseudonym passes the same
-validation. Separators, letter case and length stay as they are.
+validation. Separators, letter case, length and the width of each number stay as they are.
 
 - card: 13 to 19 digits, with blanks or hyphens between groups, valid by Luhn's check digit, which is computed anew
 - iban: two letters, two check digits (mod 97, computed anew), 11 to 30 letters and digits
 - ssn: ddd-dd-dddd with allowed area, group and serial
-- phone: international (+, 10 to 15 digits in any groups, a country code that stands apart stays) or ten digits in groups
+- phone: international (+, 10 to 15 digits in any groups, the country code stays) or ten digits in groups
 - ip: four numbers up to 255
-- date: year-month-day, or day, month (either order) and year with `/`, `.` or `-`; permuted over the days of 1900 to 2099, or over all other days of the years 1 to 9999
+- date: year-month-day, or day, month (either order) and year with `/`, `.` or `-`; permuted within the years up to 1899, 1900 to 2099, or from 2100 on, and among the dates that are read in the same way: both numbers up to 12, the first over 12, or the second over 12
 - email: letters and digits of the local part; the domain stays
 
 Defined results. Null text stays null, text without a find stays as it is. Overlapping finds: the leftmost, then the kind
-listed first. A card, IBAN or phone that number groups or capitals follow ends at the last group's end that makes it valid. A date that fits both orders is read day first. Repeated rows are treated alike. Extra columns are kept.
+listed first. A card, IBAN or phone that number groups or capitals follow ends at the last group's end that makes it valid. A date that fits both orders
+stays one that does. Repeated rows are treated alike, texts of any length are worked whole, an empty table gives an
+empty one. Extra columns are kept; one named like `into` is replaced. A key of over 64 bytes is hashed to 64.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
+from calendar import isleap, monthrange
 from collections.abc import Iterator
-from datetime import date
+from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,8 +35,11 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 FOUND = "struct<text:string,found:array<struct<kind:string,start:int,end:int>>>"
 FOUND_TYPE = pa.struct([("text", pa.string()), ("found", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
-DAYS = date.max.toordinal()
-FIRST_NEAR, LAST_NEAR = date(1900, 1, 1).toordinal() - 1, date(2100, 1, 1).toordinal() - 1
+#: Dates are permuted within these years: from one to the next.
+YEARS = [1, 1900, 2100, 10_000]
+#: Country calling codes of one and of two digits; all others have three (fixed values).
+ONE_DIGIT_CODES = {"1", "7"}
+TWO_DIGIT_CODES = {"20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98"}
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _PATTERNS = {
@@ -141,7 +149,9 @@ def _ssn(s: str, key: bytes) -> str | None:
 
 
 def _phone(s: str, key: bytes) -> str | None:
-    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])|\+1|", s)[0]
+    code = re.match(r"\+[0-9]{1,3}(?=[ .(-])|", s)[0]
+    if s[0] == "+" and not code:
+        code = s[: 2 if s[1] in ONE_DIGIT_CODES else 3 if s[1:3] in TWO_DIGIT_CODES else 4]
     national = s[len(code) :]
     d = _only_digits(national)
     if s[0] == "+":
@@ -156,41 +166,62 @@ def _ip(s: str, key: bytes) -> str | None:
     parts = [int(x) for x in s.split(".")]
     if max(parts) > 255 or any(len(x) > 1 and x[0] == "0" for x in s.split(".")):
         return None
-    value = permute(int.from_bytes(bytes(parts), "big"), 1 << 32, key, "ip")
-    return ".".join(map(str, value.to_bytes(4, "big")))
+    value, sizes = 0, []
+    for x in parts:
+        least, size = ((0, 10), (10, 90), (100, 156))[len(str(x)) - 1]
+        value = value * size + x - least
+        sizes.append((least, size))
+    size = 1
+    for _, n in sizes:
+        size *= n
+    value, out = permute(value, size, key, "ip" + "".join(str(len(str(x))) for x in parts)), []
+    for least, n in reversed(sizes):
+        value, x = divmod(value, n)
+        out.append(str(least + x))
+    return ".".join(reversed(out))
+
+
+def _reading(a: int, b: int, leap: bool) -> str | None:
+    """How two numbers are read: as day and month or month and day alike, as day first, as month first, or not at all."""
+    days = lambda month: monthrange(2024 if leap else 2023, month)[1]
+    if not 1 <= min(a, b) <= 12 or max(a, b) > 31:
+        return None
+    if max(a, b) <= 12:
+        return "both"
+    return ("day" if a > 12 else "month") if max(a, b) <= days(min(a, b)) else None
 
 
-def _day(year: str, month: str, day: str) -> date | None:
-    try:
-        return date(int(year), int(month), int(day))
-    except ValueError:
-        return None
+@cache
+def _pairs(width_a: int, width_b: int, reading: str, leap: bool) -> list[tuple[int, int]]:
+    """The pairs of numbers of these widths that are read so, in a leap year or another."""
+    upto = lambda width: range(1, 10 if width == 1 else 32)
+    return [(a, b) for a in upto(width_a) for b in upto(width_b) if _reading(a, b, leap) == reading]
 
 
-def _new_day(day: date, key: bytes) -> date:
-    """Days of the years 1900 to 2099 stay among themselves, and so do all others."""
-    n, inside = day.toordinal() - 1, LAST_NEAR - FIRST_NEAR
-    if FIRST_NEAR <= n < LAST_NEAR:
-        return date.fromordinal(FIRST_NEAR + permute(n - FIRST_NEAR, inside, key, "date") + 1)
-    n = permute(n - inside * (n >= LAST_NEAR), DAYS - inside, key, "far date")
-    return date.fromordinal(n + inside * (n >= FIRST_NEAR) + 1)
+@cache
+def _before(width_a: int, width_b: int, reading: str, first: int, end: int) -> list[int]:
+    """How many such dates lie before each year from first to end."""
+    return [0, *accumulate(len(_pairs(width_a, width_b, reading, isleap(y))) for y in range(first, end))]
 
 
 def _date(s: str, key: bytes) -> str | None:
     a, b, c = re.findall(r"[0-9]+", s)
-    day_first = True
-    if len(a) == 4:
-        day = _day(a, b, c)
-    elif not (day := _day(c, b, a)):
-        day, day_first = _day(c, a, b), False
-    if not day:
+    if len(a) == 4:  # month first, as year-month-day is
+        sep, year, x, y = s[4], a, b, c
+    else:
+        sep, x, y, year = s[len(a)], a, b, c
+    n, leap = int(year), isleap(int(year))
+    reading = _reading(int(x), int(y), leap)
+    if not n or not reading or len(a) == 4 and reading == "day":
         return None
-    new = _new_day(day, key)
-    if len(a) == 4:
-        return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
-    sep = s[len(a)]
-    x, y = (new.day, new.month) if day_first else (new.month, new.day)
-    return f"{x:02d}{sep}{y:02d}{sep}{new.year:04d}"
+    at = bisect_right(YEARS, n) - 1
+    before = _before(len(x), len(y), reading, YEARS[at], YEARS[at + 1])
+    value = before[n - YEARS[at]] + _pairs(len(x), len(y), reading, leap).index((int(x), int(y)))
+    value = permute(value, before[-1], key, f"d{reading}{len(x)}{len(y)}{at}{int(len(a) == 4)}")
+    n = bisect_right(before, value) - 1
+    p, q = _pairs(len(x), len(y), reading, isleap(YEARS[at] + n))[value - before[n]]
+    new = f"{p:0{len(x)}d}", f"{q:0{len(y)}d}", f"{YEARS[at] + n:04d}"
+    return sep.join([new[2], *new[:2]] if len(a) == 4 else new)
 
 
 def _email(s: str, key: bytes) -> str | None:
@@ -245,6 +276,8 @@ def replaced(text: str, key: bytes, seen: dict | None = None) -> tuple[str, list
 def pseudonymiser(key: bytes):
     """A column function: text to struct<text, found>."""
 
+    key = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         seen: dict = {}
         for texts in batches:

@@ -225,3 +225,46 @@ def test_rare_languages_are_learned_whole_and_unlearned_ones_go(spark):
     other = spark.createDataFrame([(6_000, "το νερό και το σπίτι είναι εδώ", None), (6_001, "the house and the water", None)], table.schema)
     kept = {r.doc_id for r in language_id.known_language(table.union(other)).collect()}
     assert 6_000 not in kept and 6_001 in kept and len(kept) >= 5_020
+
+
+def test_no_two_dates_share_a_pseudonym():
+    from calendar import monthrange
+
+    days = [(y, m, d) for y in range(1900, 2100) for m in range(1, 13) for d in range(1, monthrange(y, m)[1] + 1)]
+    written = {f"{d:02d}/{m:02d}/{y}" for y, m, d in days} | {f"{m:02d}/{d:02d}/{y}" for y, m, d in days} | {f"{d}.{m}.{y}" for y, m, d in days[:9000]} | {f"{y}-{m:02d}-{d:02d}" for y, m, d in days[:9000]}
+    new = {s: pseudonyms._date(s, b"k") for s in written}
+    assert len(set(new.values())) == len(written) and all(len(a) == len(b) for a, b in new.items())
+    assert pseudonyms._date("29.02.2023", b"k") is None and pseudonyms._date("13.13.2020", b"k") is None
+
+
+def test_pseudonyms_keep_widths_and_country_codes():
+    for text in ("10.0.0.1", "192.168.1.77", "1/2/1990", "31.12.0999"):
+        new, found = pseudonyms.replaced(text, b"k")
+        assert len(found) == 1 and new != text and [len(x) for x in new.replace("/", ".").split(".")] == [len(x) for x in text.replace("/", ".").split(".")]
+    assert [pseudonyms._phone(x, b"k")[: len(c)] for x, c in (("+4915123456789", "+49"), ("+14155552671", "+1"), ("+353861234567", "+353"))] == ["+49", "+1", "+353"]
+
+
+def test_pseudonyms_of_odd_rows(spark, odd, none):
+    rows = pseudonyms.pseudonymised(odd.withColumn("found", F.lit(1)), b"k" * 80).collect()
+    assert len(rows) == len(ODD) and all(r.found == [] for r in rows)
+    assert sorted((r.text or "") for r in rows) == sorted((x[1] or "") for x in ODD)
+    assert pseudonyms.pseudonymised(none, b"k").count() == 0
+
+
+def test_one_changed_word_or_letter_is_found(spark):
+    import random
+
+    made, rows, n = random.Random(5), [], 0
+    word = lambda: "".join(made.choice("abcdefghijklmnoprstuvw") for _ in range(made.randint(2, 9)))
+    for length in (6, 10, 20, 40, 100):
+        for k in range(60):
+            line = [word() for _ in range(length)]
+            other = list(line)
+            i = max(range(length), key=lambda j: (len(line[j]) == 5, len(line[j]) == 4))  # a word that isn't long
+            other[i] = word()[:5] if k % 2 else other[i][:-1] + "x"
+            rows += [(n, " ".join(line)), (n + 1, " ".join(other))]
+            n += 2
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    left = {r.doc_id: r.text for r in line_dedup.deduplicated(table).collect()}
+    found = {length: sum(left[i + 1] == "" for i in range(120 * k, 120 * k + 120, 2)) for k, length in enumerate((6, 10, 20, 40, 100))}
+    assert all(left[i] for i in range(0, n, 2)) and all(x >= 54 for x in found.values()), found
