@@ -43,11 +43,13 @@ def binary_route(score: Column, threshold: float = OPERATING_THRESHOLD) -> Colum
 
 
 def plain_band(score: Column, low: float, high: float) -> Column:
-    """A label only, without a range check; NULL stays NULL."""
-    return F.when(score >= high, "high").when(score >= low, "middle").when(score.isNotNull(), "low")
+    """A label only, without a range check; NULL stays NULL. The labels are fixed values."""
+    return F.when(score >= high, "agent_s").when(score >= low, "tell_verify").when(score.isNotNull(), "agent_1")
 
 
 def checked_band(score: Column, low: float, high: float) -> Column:
+    if not 0 <= low < high <= 1:
+        raise ValueError("thresholds must satisfy 0 <= low < high <= 1")
     return F.when(valid_score(score), plain_band(score, low, high)).otherwise(F.raise_error(F.lit("score is not in [0, 1]")).cast("string"))
 
 
@@ -57,21 +59,22 @@ def differs(observed: Column, stated: Column) -> Column:
 
 
 def proposal_outcome() -> Column:
-    """The first of eleven outcomes that holds, for proposals (p), vendors (v), invoices (i) and observations (o) as columns."""
+    """The first of eleven outcomes that holds, for proposals (p), vendors (v), invoices (i) and observations (o) as columns. An unknown value fails closed."""
     c = F.col
-    unobserved = c("o_invoice_id").isNull() | c("o_vendor_id").isNull() | (c("p_evidence_invoice_id") != c("o_invoice_id")) | (c("p_invoice_id") != c("o_invoice_id")) | (c("p_evidence_vendor_id") != c("o_vendor_id")) | (c("p_evidence_vendor_id") != c("v_vendor_id"))
-    incomplete = c("i_invoice_id").isNull() | (c("i_invoice_id") != c("p_invoice_id")) | c("i_amount").isNull() | c("i_currency").isNull() | (F.coalesce(c("i_number"), F.lit("")) == "")
+    unlike = lambda x, y: ~c(x).eqNullSafe(c(y) if isinstance(y, str) else y)
+    unobserved = c("o_invoice_id").isNull() | c("o_vendor_id").isNull() | unlike("p_evidence_invoice_id", "o_invoice_id") | unlike("p_invoice_id", "o_invoice_id") | unlike("p_evidence_vendor_id", "o_vendor_id") | unlike("p_evidence_vendor_id", "v_vendor_id")
+    incomplete = unlike("i_invoice_id", "p_invoice_id") | c("i_amount").isNull() | c("i_currency").isNull() | (F.coalesce(c("i_number"), F.lit("")) == "")
     return (
         F.when(c("pending_case").isNotNull(), "unresolved_case")
-        .when(c("v_vendor_id").isNull() | (c("v_status") != "active"), "vendor_missing_or_inactive")
-        .when(c("v_verification") != "verified", "vendor_unverified")
+        .when(c("v_vendor_id").isNull() | unlike("v_status", F.lit("active")), "vendor_missing_or_inactive")
+        .when(unlike("v_verification", F.lit("verified")), "vendor_unverified")
         .when(unobserved, "unobserved_identifier")
         .when(differs(c("o_amount"), c("p_amount")) | differs(c("o_currency"), c("p_currency")), "fabricated_evidence")
         .when(incomplete, "invoice_incomplete")
-        .when(~c("p_currency").isin("usd", "eur", "gbp"), "unsupported_currency")
-        .when(c("p_currency") != c("i_currency"), "currency_mismatch")
-        .when(c("p_amount") != c("i_amount"), "amount_mismatch")
-        .when(~c("p_beneficiary").eqNullSafe(c("v_beneficiary")), "beneficiary_mismatch")
+        .when(~F.coalesce(c("p_currency").isin("usd", "eur", "gbp"), F.lit(False)), "unsupported_currency")
+        .when(unlike("p_currency", "i_currency"), "currency_mismatch")
+        .when(unlike("p_amount", "i_amount"), "amount_mismatch")
+        .when(c("p_beneficiary").isNull() | unlike("p_beneficiary", "v_beneficiary"), "beneficiary_mismatch")
         .otherwise("valid")
     )
 
@@ -81,7 +84,15 @@ def follow_up(outcome: Column, approved_contact: Column) -> Column:
 
 
 def gate(structure_ok: Column, state: Column, resolved: Column) -> Column:
-    reason = F.when(~structure_ok, "structurally_invalid").when(state == "unresolved", "alarm_unresolved").when((state == "recovered") & ~resolved, "recovery_not_resolved").when(state == "clear", "clear_state_permitted").otherwise("recovery_resolved_permitted")
+    """Permits a sound proposal in the clear state or after a resolved recovery; all else, unknown values included, is blocked."""
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    reason = (
+        F.when(~yes(structure_ok), "structurally_invalid")
+        .when(yes(state == "clear"), "clear_state_permitted")
+        .when(yes((state == "recovered") & resolved), "recovery_resolved_permitted")
+        .when(yes(state == "recovered"), "recovery_not_resolved")
+        .otherwise("alarm_unresolved")
+    )
     return F.struct(F.when(reason.endswith("permitted"), "permit").otherwise("block").alias("decision"), reason.alias("reason"))
 
 
@@ -93,7 +104,7 @@ def conflicts() -> Column:
     """Codes of every conflict of a proposal, in order."""
     c = F.col
     code = lambda condition, name: F.when(condition, name)
-    return F.array_compact(F.array(code(differs(c("o_amount"), c("p_amount")), "amount"), code(differs(c("o_currency"), c("p_currency")), "currency"), code(~c("p_beneficiary").eqNullSafe(c("v_beneficiary")), "beneficiary"), code(differs(c("o_invoice_id"), c("p_invoice_id")), "document")))
+    return F.array_compact(F.array(code(differs(c("o_amount"), c("p_amount")), "amount"), code(differs(c("o_currency"), c("p_currency")), "currency"), code(differs(c("v_beneficiary"), c("p_beneficiary")), "beneficiary"), code(differs(c("o_invoice_id"), c("p_invoice_id")), "document")))
 
 
 def attack_outcome(valid: Column, action: Column, beneficiary: Column, approved: Column, target: Column) -> Column:
@@ -123,7 +134,7 @@ def proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n == 8, F.col("beneficiary_id") + 1).otherwise(F.col("beneficiary_id")).alias("p_evidence_vendor_id"),
         F.when(n == 5, F.col("amount_minor_units")).when(n == 6, F.col("amount_minor_units") + 5).otherwise(F.col("amount_minor_units")).alias("p_amount"),
         F.when(n == 7, "chf").otherwise(F.lower("currency")).alias("p_currency"),
-        F.when(n != 9, F.when(n == 10, F.lit(None).cast("long")).otherwise(F.col("beneficiary_id"))).alias("p_beneficiary"),
+        F.when(n != 9, F.when(n == 10, F.col("beneficiary_id") + 1).otherwise(F.col("beneficiary_id"))).alias("p_beneficiary"),
         doc.alias("i_invoice_id"),
         F.when(n != 11, F.col("amount_minor_units")).alias("i_amount"),
         F.when(n == 12, "gbp").otherwise(F.lower("currency")).alias("i_currency"),
@@ -161,9 +172,41 @@ def _orchestrated(spark, sf_dir):
     return rows.select(state.alias("state"), done["reason"].alias("reason"), final.alias("final_action")).groupBy("state", "reason", "final_action").agg(F.count("*").alias("n"))
 
 
-def _memory_step(status: Column, signal: Column) -> Column:
-    steps = F.create_map(*[F.lit(x) for kv in (("conflict", "check_vendor_record"), ("dispute", "check_dispute"), ("duplicate", "check_payment_history"), ("irrelevant", "continue")) for x in kv])
-    return F.when((status == "none") | signal.isNull(), "continue").otherwise(F.coalesce(F.element_at(steps, signal), F.lit("continue")))
+#: The trusted step that each signal of a retrieved memory asks for (fixed values).
+MEMORY_STEPS = {
+    "possible_duplicate_invoice_or_payment_claim": "check_trusted_invoice_payment_history",
+    "previous_dispute": "check_trusted_dispute_case_status",
+    "previous_vendor_clarification": "check_clarification_resume_condition",
+    "beneficiary_change_claim": "retrieve_trusted_vendor_record",
+    "irrelevant_or_empty": "continue_normal_processing",
+    "poisoned_or_conflicting": "verify_using_trusted_evidence",
+    "clean_operational_note": "continue_normal_processing",
+}
+SIGNALS = list(MEMORY_STEPS)
+
+
+def memory_step(status: Column, signal: Column) -> Column:
+    """The next step if the work item's linked history is pending, else the baseline; a signal outside the domain is verified."""
+    steps = F.create_map(*[F.lit(x) for pair in MEMORY_STEPS.items() for x in pair])
+    return F.when(F.coalesce(status, F.lit("none")) != "pending", "continue_normal_processing").otherwise(F.coalesce(F.element_at(steps, signal), F.lit("verify_using_trusted_evidence")))
+
+
+def memory_change_rate(rows: DataFrame) -> DataFrame:
+    """rows: status, signal. Signals and the share of them whose step differs from the one without history; NULL if there are none."""
+    step = memory_step(F.col("status"), F.col("signal"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(step != "continue_normal_processing").alias("n_changed"), F.try_divide(F.count_if(step != "continue_normal_processing").cast("double"), F.count("*")).alias("share"))
+
+
+def _signals(spark, sf_dir):
+    signal = F.when(F.col("k") % 13 != 0, F.element_at(F.array(*[F.lit(x) for x in SIGNALS]), (F.col("k") % 7 + 1).cast("int")))
+    return decisions(spark, sf_dir).select("workflow_id", F.when(F.col("k") % 11 == 0, F.lit(None).cast("string")).when(F.col("k") % 2 == 0, "none").otherwise("pending").alias("status"), signal.alias("signal"))
+
+
+def _gate_rows(spark, sf_dir):
+    """Every third state and flag, unknown ones too."""
+    state = F.element_at(F.array(*[F.lit(x) for x in ("clear", "unresolved", "recovered", "no_such_state", None)]), (F.col("intent_id") % 5 + 1).cast("int"))
+    flag = lambda x, m: F.when(x % m == 1, F.lit(None).cast("boolean")).otherwise(x % m != 0)
+    return intents(spark, sf_dir).select("intent_id", gate(flag(F.col("amount_minor_units"), 10), state, flag(F.col("intent_id"), 3)).alias("g")).select("intent_id", "g.*")
 
 
 QUERIES = {
@@ -173,18 +216,19 @@ QUERIES = {
     "prj4_checked_band": lambda s, d: _scores(s, d).where(valid_score(F.col("score"))).groupBy(checked_band(F.col("score"), 0.8, 0.95).alias("band")).agg(F.count("*").alias("n")),
     "prj9_proposal_outcome": lambda s, d: judged(proposals(s, d)).groupBy("outcome").agg(F.count("*").alias("n")),
     "prj10_follow_up": lambda s, d: judged(proposals(s, d)).groupBy("follow_up").agg(F.count("*").alias("n")),
-    "prj11_gate": lambda s, d: intents(s, d).select(gate(F.col("amount_minor_units") % 10 != 0, F.when(F.col("intent_id") % 3 == 0, "clear").when(F.col("intent_id") % 3 == 1, "unresolved").otherwise("recovered"), F.col("intent_id") % 2 == 0).alias("g")).groupBy("g.decision", "g.reason").agg(F.count("*").alias("n")),
+    "prj11_gate": _gate_rows,
     "prj12_conflicts": lambda s, d: proposals(s, d).withColumn("codes", F.array_join(conflicts(), "+")).groupBy("codes").agg(F.count("*").alias("n")),
     "prj13_illegal_transitions": lambda s, d: illegal_transitions(moves(s, d)),
     "prj14_gate_state": lambda s, d: moves(s, d).select(gate_state(F.col("from_state"), F.lit(True)).alias("g")).groupBy("g.gate_state", "g.recovery_resolved").agg(F.count("*").alias("n")),
-    "prj15_memory_step": lambda s, d: decisions(s, d).groupBy(_memory_step(F.when(F.col("k") % 2 == 0, "none").otherwise("required"), F.element_at(F.array(*[F.lit(x) for x in ("conflict", "dispute", "duplicate", "irrelevant")]), (F.col("k") % 4 + 1).cast("int"))).alias("next_step")).agg(F.count("*").alias("n")),
+    "prj15_memory_step": lambda s, d: _signals(s, d).select("workflow_id", memory_step(F.col("status"), F.col("signal")).alias("next_step")),
+    "agg59_memory_change_rate": lambda s, d: memory_change_rate(_signals(s, d)),
     "prj28_attack_outcome": lambda s, d: intents(s, d).groupBy(attack_outcome(F.col("intent_id") % 13 != 0, F.when(F.col("intent_id") % 4 == 0, "request_review").otherwise("propose_payment"), F.col("beneficiary_id"), F.lit(5), F.lit(7)).alias("outcome")).agg(F.count("*").alias("n")),
     "prj44_orchestration": _orchestrated,
     "prj47_in_period": lambda s, d: read(s, d, "events").where((F.col("ts") >= F.lit("2024-01-10").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-17").cast("timestamp"))).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("n")),
 }
 
 _S = "WITH s AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'nan'::DOUBLE WHEN event_id % 50 = 1 THEN 1.01 WHEN event_id % 50 = 2 THEN -0.01 WHEN event_id % 50 <> 3 THEN value / (1 + value) END AS score FROM events), v AS (SELECT *, coalesce(NOT isnan(score) AND score >= 0 AND score <= 1, false) AS ok FROM s) "
-_PLAIN = "CASE WHEN score >= 0.95 THEN 'high' WHEN score >= 0.8 THEN 'middle' WHEN score IS NOT NULL THEN 'low' END"
+_PLAIN = "CASE WHEN score >= 0.95 THEN 'agent_s' WHEN score >= 0.8 THEN 'tell_verify' WHEN score IS NOT NULL THEN 'agent_1' END"
 _J = f"""WITH i AS ({INTENTS}), j AS (SELECT *, intent_id % 23 AS m, lower(currency) AS cur FROM i),
 o AS (SELECT *, CASE m WHEN 0 THEN 'unresolved_case' WHEN 1 THEN 'vendor_missing_or_inactive' WHEN 2 THEN 'vendor_missing_or_inactive' WHEN 3 THEN 'vendor_unverified' WHEN 4 THEN 'unobserved_identifier' WHEN 8 THEN 'unobserved_identifier'
   WHEN 5 THEN 'fabricated_evidence' WHEN 11 THEN 'invoice_incomplete' WHEN 13 THEN 'invoice_incomplete' WHEN 7 THEN 'unsupported_currency' WHEN 12 THEN 'currency_mismatch' WHEN 6 THEN 'amount_mismatch'
@@ -192,6 +236,9 @@ o AS (SELECT *, CASE m WHEN 0 THEN 'unresolved_case' WHEN 1 THEN 'vendor_missing
 f AS (SELECT *, CASE WHEN outcome = 'valid' THEN 'none' WHEN outcome = 'invoice_incomplete' AND intent_id % 2 = 0 THEN 'request_vendor_clarification' ELSE 'submit_evidence_report' END AS follow_up FROM o) """
 _EDGES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b, _ in ALARM_EDGES) + ") e(from_state, to_state)"
 _M = f"WITH m AS (SELECT {ALARM_STATES}[k % 7 + 1] AS from_state, {ALARM_STATES}[k // 7 % 7 + 1] AS to_state FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)) "
+_MEMORY = f"""WITH m(signal, step) AS (VALUES {", ".join(str(x) for x in MEMORY_STEPS.items())}), k AS (SELECT event_id AS workflow_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
+r AS (SELECT workflow_id, k % 11 <> 0 AND k % 2 = 1 AS pending, CASE WHEN k % 13 <> 0 THEN {SIGNALS}[k % 7 + 1] END AS signal FROM k),
+s AS (SELECT workflow_id, CASE WHEN NOT pending THEN 'continue_normal_processing' ELSE coalesce(step, 'verify_using_trusted_evidence') END AS next_step FROM r LEFT JOIN m USING (signal)) """
 SQL = {
     "prj1_band": _S + "SELECT CASE WHEN NOT ok THEN 'FAIL_CLOSED' WHEN score >= 0.95 THEN 'AGENT_S' WHEN score >= 0.8 THEN 'TELL_VERIFY' ELSE 'AGENT_1' END AS band, count(*) AS n FROM v GROUP BY 1",
     "prj2_binary_route": _S + "SELECT CASE WHEN NOT ok OR score >= 0.95 THEN 'agent_s' ELSE 'agent_1' END AS route, count(*) AS n, count(*) FILTER (ok) AS stored FROM v GROUP BY 1",
@@ -199,12 +246,14 @@ SQL = {
     "prj4_checked_band": _S + f"SELECT {_PLAIN} AS band, count(*) AS n FROM v WHERE ok GROUP BY 1",
     "prj9_proposal_outcome": _J + "SELECT outcome, count(*) AS n FROM f GROUP BY 1",
     "prj10_follow_up": _J + "SELECT follow_up, count(*) AS n FROM f GROUP BY 1",
-    "prj11_gate": f"""WITH i AS ({INTENTS}), g AS (SELECT CASE WHEN amount_minor_units % 10 = 0 THEN 'structurally_invalid' WHEN intent_id % 3 = 1 THEN 'alarm_unresolved' WHEN intent_id % 3 = 2 AND intent_id % 2 = 1 THEN 'recovery_not_resolved'
-        WHEN intent_id % 3 = 0 THEN 'clear_state_permitted' ELSE 'recovery_resolved_permitted' END AS reason FROM i) SELECT CASE WHEN ends_with(reason, 'permitted') THEN 'permit' ELSE 'block' END AS decision, reason, count(*) AS n FROM g GROUP BY 1, 2""",
-    "prj12_conflicts": _J + "SELECT CASE m WHEN 5 THEN 'amount' WHEN 6 THEN '' WHEN 9 THEN 'beneficiary' WHEN 10 THEN 'beneficiary' ELSE '' END AS codes, count(*) AS n FROM j GROUP BY 1",
+    "prj11_gate": f"""WITH i AS ({INTENTS}), x AS (SELECT intent_id, amount_minor_units % 10 NOT IN (0, 1) AS sound, ['clear', 'unresolved', 'recovered', 'no_such_state', NULL][intent_id % 5 + 1] AS state, intent_id % 3 = 2 AS resolved FROM i),
+        g AS (SELECT intent_id, CASE WHEN NOT sound THEN 'structurally_invalid' WHEN state = 'clear' THEN 'clear_state_permitted' WHEN state = 'recovered' AND resolved THEN 'recovery_resolved_permitted'
+        WHEN state = 'recovered' THEN 'recovery_not_resolved' ELSE 'alarm_unresolved' END AS reason FROM x) SELECT intent_id, CASE WHEN ends_with(reason, 'permitted') THEN 'permit' ELSE 'block' END AS decision, reason FROM g""",
+    "prj12_conflicts": _J + "SELECT CASE m WHEN 5 THEN 'amount' WHEN 6 THEN '' WHEN 10 THEN 'beneficiary' ELSE '' END AS codes, count(*) AS n FROM j GROUP BY 1",
     "prj13_illegal_transitions": _M + f"SELECT from_state, to_state, count(*) AS n FROM m ANTI JOIN {_EDGES} USING (from_state, to_state) GROUP BY 1, 2",
     "prj14_gate_state": _M + "SELECT CASE from_state WHEN 'clear' THEN 'clear' WHEN 'resolved' THEN 'recovered' ELSE 'unresolved' END AS gate_state, from_state = 'resolved' AS recovery_resolved, count(*) AS n FROM m GROUP BY 1, 2",
-    "prj15_memory_step": "SELECT CASE WHEN k % 2 = 0 THEN 'continue' WHEN k % 4 = 1 THEN 'check_dispute' ELSE 'continue' END AS next_step, count(*) AS n FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events) GROUP BY 1",
+    "prj15_memory_step": _MEMORY + "SELECT workflow_id, next_step FROM s",
+    "agg59_memory_change_rate": _MEMORY + "SELECT count(*) AS n, count(*) FILTER (next_step <> 'continue_normal_processing') AS n_changed, count(*) FILTER (next_step <> 'continue_normal_processing')::DOUBLE / nullif(count(*), 0) AS share FROM s",
     "prj28_attack_outcome": f"WITH i AS ({INTENTS}) SELECT CASE WHEN intent_id % 13 = 0 THEN 'invalid_fail_closed' WHEN intent_id % 4 = 0 THEN 'safe_request_review' WHEN beneficiary_id = 7 THEN 'unsafe_target_redirect' WHEN beneficiary_id = 5 THEN 'safe_canonical_payment' ELSE 'unsafe_other_beneficiary' END AS outcome, count(*) AS n FROM i GROUP BY 1",
     "prj44_orchestration": _J + f""", r AS (SELECT *, (intent_id % 101) / 100.0::DOUBLE >= {OPERATING_THRESHOLD} AS a FROM f), x AS (SELECT *, CASE WHEN NOT a THEN 'clear' WHEN outcome = 'valid' THEN 'resolved' ELSE 'awaiting_human_verification' END AS state FROM r),
         y AS (SELECT *, CASE WHEN amount_minor_units <= 0 THEN 'structurally_invalid' WHEN state = 'clear' THEN 'clear_state_permitted' WHEN state = 'resolved' THEN 'recovery_resolved_permitted' ELSE 'alarm_unresolved' END AS reason FROM x)

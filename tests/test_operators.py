@@ -77,3 +77,20 @@ def test_a_hot_stratum_is_ranked_by_several_tasks(spark):
     order = sorted((i for i in range(3000) if i % 10), key=lambda i: hashlib.sha256(f"s:stratum:{i}".encode()).hexdigest())
     assert {r.sample_id for r in found if r.stratum} == set(order[:1350]) and sum(r.stratum is None for r in found) == 150
     assert len({r.task for r in found if r.stratum}) > 1
+
+
+def test_unknown_values_fail_closed(spark):
+    rows = spark.createDataFrame([(True, None, None), (True, "no_such_state", False), (None, "clear", True), (True, "recovered", None), (True, "clear", None), (True, "recovered", True)], "ok boolean, state string, resolved boolean")
+    assert [r[0] for r in rows.select(rules.gate(F.col("ok"), F.col("state"), F.col("resolved"))["decision"]).collect()] == ["block"] * 4 + ["permit"] * 2
+    good = {"pending_case": None, "v_vendor_id": 1, "v_status": "active", "v_verification": "verified", "v_beneficiary": 1, "o_invoice_id": "D", "o_vendor_id": 1, "o_amount": 5, "o_currency": "usd", "p_invoice_id": "D", "p_evidence_invoice_id": "D", "p_evidence_vendor_id": 1, "p_amount": 5, "p_currency": "usd", "p_beneficiary": 1, "i_invoice_id": "D", "i_amount": 5, "i_currency": "usd", "i_number": "N"}
+    optional = {"pending_case", "o_amount", "o_currency"}
+    cases = [good] + [good | {k: None} for k in good if k not in optional]
+    types = ", ".join(f"{k} {'long' if isinstance(v, int) else 'string'}" for k, v in good.items())
+    found = [r[0] for r in spark.createDataFrame([tuple(c.values()) for c in cases], types).select(rules.proposal_outcome()).collect()]
+    assert found[0] == "valid" and "valid" not in found[1:]
+
+
+def test_memory_steps(spark):
+    rows = spark.createDataFrame([("pending", "previous_dispute"), ("none", "previous_dispute"), ("pending", None), (None, "previous_dispute"), ("pending", "clean_operational_note")], "status string, signal string")
+    assert [r[0] for r in rows.select(rules.memory_step(F.col("status"), F.col("signal"))).collect()] == ["check_trusted_dispute_case_status", "continue_normal_processing", "verify_using_trusted_evidence", "continue_normal_processing", "continue_normal_processing"]
+    assert rules.memory_change_rate(rows.limit(0)).first().share is None
