@@ -1,5 +1,6 @@
 """The training-data operators against brute force, on small and odd tables."""
 
+import random
 import zlib
 
 import numpy as np
@@ -92,6 +93,38 @@ def test_repeated_substrings_of_odd_rows(spark, odd, none):
     assert substring_dedup.repeated_substrings(odd).count() == len(ODD) and substring_dedup.repeated_substrings(none).count() == 0
 
 
+def test_repeated_substrings_by_brute_force(spark):
+    rng, window = random.Random(3), substring_dedup.WINDOW
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(60):
+        words = [rng.choice("ab") for _ in range(rng.randrange(40))]
+        cut = rng.randrange(30)
+        rows.append((i // 2 if i < 20 else i, " ".join(words[:9] + passage[cut : cut + rng.randrange(30)] + words[9:])))
+    rows += [rows[4], rows[5], rows[5], (None, rows[0][1])]
+    first: dict[tuple, int] = {}
+    for d, text in rows:
+        w = text.split()
+        for i in range(len(w) - window + 1) if d is not None else ():
+            first[tuple(w[i : i + window])] = min(d, first.get(tuple(w[i : i + window]), d))
+    want = []
+    for d, text in rows:
+        w = text.split()
+        off = {j for i in range(len(w) - window + 1) if d is not None and first[tuple(w[i : i + window])] < d for j in range(i, i + window)}
+        want.append((d, len(w), len(off), " ".join(x for i, x in enumerate(w) if i not in off)))
+    got = substring_dedup.repeated_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == sorted(want, key=repr)
+    assert sum(r[2] > 0 for r in want) > 20
+    assert all(r.n_removed == sum(s.last - s.first + 1 for s in r.repeats) for r in got)
+
+
+def test_repeated_substrings_with_clashing_columns(spark):
+    plain = spark.createDataFrame([(2, "a b c d e f g h i j k l m n"), (1, "x a b c d e f g h i j k l m n")], "doc_id long, text string")
+    clashing = plain.selectExpr("*", "'q' run", "3 anchor", "array(1) windows", "array(2) places", "7 n_removed")
+    key = lambda df: sorted(map(tuple, df.select("doc_id", "n_words", "n_removed", "kept_text").collect()))
+    assert key(substring_dedup.repeated_substrings(clashing)) == key(substring_dedup.repeated_substrings(plain)) == [(1, 15, 0, "x a b c d e f g h i j k l m n"), (2, 14, 14, "")]
+
+
 def test_fuzzy_lines(spark, odd, none):
     base = " ".join(f"word{chr(97 + i)}" for i in range(26))
     rows = spark.createDataFrame([(1, f"First line here\n{base} end\n\n"), (2, f"FIRST line, here!\nown words\n{base} end."), (3, None)], "doc_id long, text string")
