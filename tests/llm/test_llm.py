@@ -301,3 +301,9 @@ def test_one_changed_word_or_letter_is_found(spark):
     left = {r.doc_id: r.text for r in line_dedup.deduplicated(table).collect()}
     found = {length: sum(left[i + 1] == "" for i in range(120 * k, 120 * k + 120, 2)) for k, length in enumerate((6, 10, 20, 40, 100))}
     assert all(left[i] for i in range(0, n, 2)) and all(x >= 54 for x in found.values()), found
+
+
+def test_line_positions_turn_back(spark):
+    places = [(-5, 3), (-5, 0), (0, 0), (7, 9), (2**62, 5), (-(2**62), 2**31 - 1)]
+    rows = spark.createDataFrame(places, "doc_id long, line_no int").withColumn("pos", line_dedup.position())
+    assert sorted(tuple(r) for r in rows.select(*line_dedup.place_of()).collect()) == sorted(places)
