@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, token_output, topk, url_filter
+from ledgerlens.llm import centroids, codebooks, decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, token_output, topk, url_filter
 from ledgerlens.llm.common import read_table, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -78,6 +78,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codebooks.encoded(read_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(read_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = """
@@ -126,10 +135,59 @@ SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(len(d.ws) - coalesce
 FROM docs d LEFT JOIN kept k USING (doc_id)
 """
 
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+_WHOLE = "list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))"
+
+
+def _floor_mean(x: str) -> str:
+    return f"CAST((sum({x}) - ((sum({x}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)"
+
+
+def _op11_sql(parts: int = 16, entries: int = 64, width: int = 4, rounds: int = 2) -> str:
+    at = range(width)
+    distance = " + ".join(f"(p.x{i} - b.x{i}) * (p.x{i} - b.x{i})" for i in at)
+    codes = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, part, min(({distance}) * {entries} + entry) AS k FROM p JOIN b{r} b USING (part) GROUP BY ALL)"
+    steps = []
+    for r in range(rounds):
+        means = ", ".join(f"{_floor_mean(f'x{i}')} AS x{i}" for i in at)
+        steps += [codes(r), f"m{r} AS (SELECT part, k % {entries} AS entry, {means} FROM a{r} JOIN p USING (vec_id, part) GROUP BY ALL)"]
+        steps.append(f"b{r + 1} AS MATERIALIZED (SELECT part, entry, {', '.join(f'coalesce(m.x{i}, b.x{i}) AS x{i}' for i in at)} FROM b{r} b LEFT JOIN m{r} m USING (part, entry))")
+    steps.append(codes(rounds))
+    return f"""
+WITH v AS (SELECT vec_id, label, {_WHOLE} AS q FROM embeddings WHERE {_FINITE}),
+p AS MATERIALIZED (SELECT vec_id, part, {", ".join(f"q[{width} * part + {i + 1}] AS x{i}" for i in at)} FROM v, range({parts}) t(part)),
+b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, {", ".join(f"x{i}" for i in at)} FROM p QUALIFY entry < {entries}),
+{", ".join(steps)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', k % {entries}), '' ORDER BY part) AS code, CAST(sum(k // {entries}) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id),
+books AS (SELECT sha256(string_agg({" || ',' || ".join(f"x{i}" for i in at)}, ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM codes JOIN v USING (vec_id), books
+"""
+
+
+def _op12_sql(k: int = 40, rounds: int = 5) -> str:
+    distance = "CAST(list_sum(list_transform(list_zip(v.q, b.q), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT vec_id, min({distance} * {k} + c) AS k FROM v, b{r} b GROUP BY vec_id)"
+    steps = []
+    for r in range(rounds):
+        steps += [near(r), f"m{r} AS (SELECT c, list(x ORDER BY i) AS q FROM (SELECT c, i, {_floor_mean('x')} AS x FROM (SELECT k % {k} AS c, unnest(q) AS x, unnest(range(len(q))) AS i FROM a{r} JOIN v USING (vec_id)) GROUP BY ALL) GROUP BY c)"]
+        steps.append(f"b{r + 1} AS MATERIALIZED (SELECT c, coalesce(m.q, b.q) AS q FROM b{r} b LEFT JOIN m{r} m USING (c))")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, {_WHOLE} AS q FROM embeddings WHERE {_FINITE} AND len(embedding) = 64),
+b0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, q FROM v QUALIFY c < {k}),
+{", ".join(steps)},
+{near(rounds)}
+SELECT vec_id, CAST(k % {k} AS INTEGER) AS cluster, k // {k} AS distance, CAST(sum(k // {k}) OVER (PARTITION BY k % {k}) AS BIGINT) AS cluster_inertia,
+       CAST(sum(k // {k}) OVER () AS BIGINT) AS inertia, sha256(array_to_string(q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN b{rounds} ON c = k % {k}
+"""
+
+
+OP11_SQL, OP12_SQL = _op11_sql(), _op12_sql()
+
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op6_token_output, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op6_token_output, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash, op11_vector_codes, op12_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_substring_dedup": OP7_SQL}
+    return {"op1_topk": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_decontamination": OP3_SQL, "op7_substring_dedup": OP7_SQL, "op11_vector_codes": OP11_SQL, "op12_centroids": OP12_SQL}
