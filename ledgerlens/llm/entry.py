@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import centroids, codebooks, decontaminate, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, token_output, topk, url_filter
+from ledgerlens.llm import centroids, codebooks, decontaminate, grouping_packing, language_id, line_dedup, packing, pseudonyms, simhash, substring_dedup, token_output, topk, url_filter
 from ledgerlens.llm.common import read_table, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -87,6 +87,10 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(read_table(spark, sf_dir, "embeddings")).drop("centroid")
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping_packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP1_SQL = """
@@ -186,7 +190,7 @@ OP11_SQL, OP12_SQL = _op11_sql(), _op12_sql()
 
 
 def queries() -> dict:
-    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op6_token_output, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash, op11_vector_codes, op12_centroids)}
+    return {x.__name__: x for x in (op1_topk, op2_url_filter, op3_decontamination, op4_packing, op5_language_id, op6_token_output, op7_substring_dedup, op8_line_dedup, op9_pseudonyms, op10_simhash, op11_vector_codes, op12_centroids, op13_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
