@@ -86,7 +86,8 @@ def _sums(centroids, scale: float):
             sums[found] += np.add.reduceat(x[order], first, axis=0)
             counts += np.bincount(at, minlength=len(now))
         used = np.flatnonzero(counts)
-        yield pd.DataFrame({"cluster": used.astype(np.int32), "n": counts[used], "sums": list(sums[used])})
+        if len(used):
+            yield pd.DataFrame({"cluster": used.astype(np.int32), "n": counts[used], "sums": list(sums[used])})
 
     return run
 
