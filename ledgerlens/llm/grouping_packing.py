@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Tables
-from ledgerlens.llm.packing import words_of
+from ledgerlens.llm.common import Tables, slices
+from ledgerlens.llm.packing import PIECE, words_of
 from ledgerlens.llm.token_output import numbered
 
 LENGTH = 2048
@@ -47,6 +47,8 @@ WELL_FILLED = 0.98
 INJECTED = (0.05, 0.5)
 EMPTIED = (0.02, 0.3)
 WHOLE = 1 << 62
+#: Tasks of an epoch at most; each works one island or more.
+MAX_TASKS = 20_000
 SEED = 13
 
 
@@ -154,10 +156,10 @@ def _pieces(tokenizer: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, first = words_of(tokenizer), TaskContext.get().partitionId() << 40
         seen = [0, 0]
-        for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(words.ids(text.as_py() or ""), SEPARATOR).astype("<u4")
+        for batch in (x for whole in batches for x in slices(whole, 1, PIECE)):
+            rows, (found, at) = [], words.tokens(batch.column(1))
+            for doc, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:]):
+                ids = np.append(found[a:b], SEPARATOR).astype("<u4")
                 for piece, start in enumerate(range(0, len(ids), length)):
                     part = ids[start : start + length]
                     whole = len(part) == length
@@ -196,8 +198,9 @@ def packed_blocks(blocks: DataFrame, tables: Tables, length: int = LENGTH, islan
     schema = "block long, island int, rank int, n_bins long, unevenness double, least long, bins binary"
     ring = F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")
     todo, done = blocks.select("block", "sizes", ring, F.expr("cast(array() AS array<binary>)").alias("elites")), None
+    n = min(MAX_TASKS, max(1, islands * blocks.count()))
     for epoch in range(epochs):
-        tasks = todo.withColumn("epoch", F.lit(epoch)).repartition(F.xxhash64("block", "island"))
+        tasks = todo.withColumn("epoch", F.lit(epoch)).repartition(n, "block", "island")
         found = tables.store(f"elites{epoch}", tasks.mapInPandas(_islands(length, population, generations, seed), schema))
         worth = F.struct("n_bins", "unevenness", "island", "rank")
         best = found.groupBy("block").agg(F.min_by("bins", worth).alias("bins"), F.min("n_bins").alias("n_bins"), F.min("least").alias("least"))

@@ -14,6 +14,7 @@ lies in exactly one piece; pieces of a sequence leave no gap. Extra columns play
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 import zlib
@@ -24,10 +25,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import slices
+
 LENGTH = 2048
 SEPARATOR = 1
 SENTENCE_PENALTY = 4
@@ -35,11 +39,15 @@ STRIDE_PENALTY = 32
 STRIDE = 128
 BLOCK = 1 << 20
 CACHED_WORDS = 1_400_000
+WORDS_TOGETHER = 50
+#: Bytes of text whose words are looked up together.
+PIECE = 16 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long"
 
 
 #: What the tokenizer takes apart in any case: runs of letters, single digits, runs of other signs.
 _ASCII_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
+_WORD = re.compile(r"[^\W\d_]+").fullmatch
 _LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
@@ -55,6 +63,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         if any(re.search(r"\s", x) for x in added):
@@ -90,6 +99,46 @@ class Words(dict):
     def ids(self, text: str) -> np.ndarray:
         return np.fromiter(chain.from_iterable(map(self.__getitem__, text.replace("\n", " ").split(" "))), np.int32)
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Ids of unseen chunks. Words among their parts are encoded together, a blank between any two, and taken apart at the tokens that end a word."""
+        parted = [(x, self._parts(x)) for x in chunks]
+        new = list({x for _, parts in parted for x in parts if x not in self and len(x) <= 64 and _WORD(x)})
+        if len(self) + len(new) + len(chunks) > CACHED_WORDS:
+            self.clear()
+        groups = [new[a : a + WORDS_TOGETHER] for a in range(0, len(new), WORDS_TOGETHER)]
+        for some, found in zip(groups, self.tokenizer.encode_batch_fast([" ".join(x) for x in groups], add_special_tokens=False)):
+            ids = tuple(map(self.numbers.__getitem__, found.ids))
+            ends = (np.flatnonzero(self.word_ends[list(ids)]) + 1).tolist()
+            if len(ends) == len(some) and ends[-1] == len(ids):  # else each is encoded by itself when it is met
+                self.update(zip(some, (ids[i:j] for i, j in zip([0, *ends], ends))))
+        for chunk, parts in parted:
+            if len(chunk) <= 64 and (len(parts) != 1 or parts[0] != chunk):
+                self[chunk] = tuple(chain.from_iterable(map(self.__getitem__, parts)))
+
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text's after the other's, and the offsets where each text's begin, the end last. Null texts have none."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.get, distinct))
+        unseen = [i for i, x in enumerate(found) if x is None]
+        self._learn([distinct[i] for i in unseen])
+        for i in unseen:
+            found[i] = self[distinct[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        flat = pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)
+        words = np.concatenate(([0], np.cumsum(pc.list_value_length(parts).to_numpy())))
+        before = np.concatenate(([0], np.cumsum(sizes[coded.indices.to_numpy()])))
+        return lists.take(coded.indices).flatten().to_numpy(), before[words]
+
+    @cached_property
+    def word_ends(self) -> np.ndarray:
+        """Flags, by id, of the tokens that end a word."""
+        flags = np.zeros(len(self.numbers), bool)
+        flags[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        return flags
+
     @cached_property
     def sentence_ends(self) -> np.ndarray:
         """Flags, by id, of the tokens that end with a full stop, exclamation or question mark."""
@@ -168,9 +217,10 @@ def pack_block(docs: list[tuple[int, np.ndarray]], ends: np.ndarray, first: int,
 def blocks(batches: Iterator[pa.RecordBatch], words: Words) -> Iterator[list[tuple[int, np.ndarray]]]:
     """Documents (id, tokens with the separator) in blocks of about BLOCK tokens. Batches: id, text."""
     held, tokens = [], 0
-    for batch in batches:
-        for doc, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.append(words.ids(value.as_py() or ""), SEPARATOR).astype(np.int32)
+    for piece in (x for batch in batches for x in slices(batch, 1, PIECE)):
+        found, at = words.tokens(piece.column(1))
+        for doc, a, b in zip(piece.column(0).to_pylist(), at[:-1], at[1:]):
+            ids = np.append(found[a:b], np.int32(SEPARATOR))
             held.append((doc, ids))
             tokens += len(ids)
             if tokens >= BLOCK:
