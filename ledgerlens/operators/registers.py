@@ -56,10 +56,10 @@ def pair_violations(rows: DataFrame, tolerance: float) -> DataFrame:
     return sides.withColumn("violation", F.when(F.col("size0").isNull() | F.col("size1").isNull(), "incomplete").when(apart, "length")).where("violation is not null").select("pair_id", "violation")
 
 
-def active_stage(rows: DataFrame) -> DataFrame:
-    """The first stage of each run with no successful step; NULL where all are done."""
-    seen = rows.where("success").groupBy("run_id").agg(F.collect_set("action").alias("seen"))
-    return seen.select("run_id", F.get(F.array_except(F.array(*map(F.lit, STAGES)), "seen"), F.lit(0)).alias("stage"))
+def active_stage(rows: DataFrame, stages: list[str] = STAGES) -> DataFrame:
+    """The first stage of each run with no successful step, the first of all for a run without one; NULL where all are done."""
+    seen = rows.groupBy("run_id").agg(F.collect_set(F.when(F.col("success"), F.col("action"))).alias("seen"))
+    return seen.select("run_id", F.get(F.array_except(F.array(*map(F.lit, stages)), "seen"), F.lit(0)).alias("stage"))
 
 
 def last_observed(rows: DataFrame) -> DataFrame:
@@ -92,10 +92,6 @@ def latest_state(rows: DataFrame, state: Column, allowed: Column) -> DataFrame:
     return rows.where(allowed).groupBy("run_id").agg(F.max_by(state, "step").alias("state"))
 
 
-def first_alarm(rows: DataFrame, threshold: float) -> DataFrame:
-    return rows.where(F.col("score") >= threshold).groupBy("run_id").agg(F.min("step").alias("step"), F.min_by("score", "step").alias("score"))
-
-
 def expired(rows: DataFrame, now: str, seconds: int) -> DataFrame:
     """Runs whose last step is no end and older than `seconds` at `now` fail."""
     last = rows.groupBy("run_id").agg(F.max("ts").alias("ts"), F.max_by("action", "step").alias("action"))
@@ -148,7 +144,6 @@ QUERIES = {
     "srt14_cursor": lambda s, d: steps(s, d).where("step > 40").select("run_id", "step", "action"),
     "srt21_first_n": lambda s, d: first_n(read(s, d, "documents").select("doc_id", "lang", "source"), 5, "doc_id", "lang", "source"),
     "str8_latest_status": lambda s, d: latest_state(steps(s, d), F.col("action"), F.lit(True)),
-    "str10_first_alarm": lambda s, d: first_alarm(steps(s, d), 0.9),
     "str12_expired": lambda s, d: expired(steps(s, d), "2024-01-30 12:00:00", 86_400),
     "str14_lockouts": lambda s, d: lockouts(steps(s, d), 86_400, 2),
     "str18_sticky_rejection": lambda s, d: latest_state(steps(s, d), F.when(F.col("k") % 7 == 0, "rejected").otherwise("cleared"), (F.col("k") % 7 == 0) | (F.col("action") == "finish")),
@@ -165,7 +160,7 @@ SQL = {
     "j7_unique_names": "WITH n AS (SELECT s_suppkey AS v, s_name AS name FROM supplier UNION ALL SELECT s_suppkey, 'V-' || s_suppkey % 7 FROM supplier) SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS name_key, CAST(min(v) AS BIGINT) AS vendor_id FROM n GROUP BY 1 HAVING count(DISTINCT v) = 1 AND name_key <> ''",
     "j11_counterparts": "SELECT CASE WHEN b.doc_id IS NULL THEN 'dangling' WHEN a.source IS NOT DISTINCT FROM b.source THEN 'ok' ELSE 'crossing' END AS state, count(*) AS n FROM documents a LEFT JOIN documents b ON b.doc_id = a.doc_id + 1 - 2 * (a.doc_id % 2) GROUP BY 1",
     "j12_pair_violations": "WITH p AS (SELECT doc_id // 2 AS pair_id, max(length(text)) FILTER (doc_id % 2 = 0) AS x, max(length(text)) FILTER (doc_id % 2 = 1) AS y FROM documents WHERE doc_id % 9 <> 0 GROUP BY 1) SELECT pair_id, CASE WHEN x IS NULL OR y IS NULL THEN 'incomplete' ELSE 'length' END AS violation FROM p WHERE x IS NULL OR y IS NULL OR abs(x - y) > greatest(x, y) * 0.15::DOUBLE",
-    "win17_active_stage": _T + f", g AS (SELECT run_id, list(action) AS seen FROM t WHERE success GROUP BY 1) SELECT run_id, list_filter({STAGES}, lambda x: NOT list_contains(seen, x))[1] AS stage FROM g",
+    "win17_active_stage": _T + f", g AS (SELECT run_id, coalesce(list(action) FILTER (success), []) AS seen FROM t GROUP BY 1) SELECT run_id, list_filter({STAGES}, lambda x: NOT list_contains(seen, x))[1] AS stage FROM g",
     "win20_last_observed": _T + "SELECT run_id, action, arg_max(args, step) AS args FROM t WHERE success GROUP BY 1, 2",
     "srt3_systematic": "WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM documents) SELECT source, doc_id FROM r WHERE place IN (SELECT CAST(floor((i + 0.5::DOUBLE) * n / 10) AS BIGINT) FROM range(10) g(i))",
     "srt8_epoch_size": "SELECT lang, count(*) + CAST(floor(count(*) * 0.3::DOUBLE / (1 - 0.3::DOUBLE)) AS BIGINT) AS epoch_size FROM documents GROUP BY 1",
@@ -174,7 +169,6 @@ SQL = {
     "srt14_cursor": _T + "SELECT run_id, step, action FROM t WHERE step > 40",
     "srt21_first_n": "SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) <= 5",
     "str8_latest_status": _T + "SELECT run_id, arg_max(action, step) AS state FROM t GROUP BY 1",
-    "str10_first_alarm": _T + "SELECT run_id, min(step) AS step, arg_min(score, step) AS score FROM t WHERE score >= 0.9::DOUBLE GROUP BY 1",
     "str12_expired": _T + "SELECT run_id, CASE WHEN a = 'finish' THEN 'DONE' WHEN epoch(TIMESTAMP '2024-01-30 12:00:00') - floor(epoch(x)) > 86400 THEN 'FAILED' ELSE 'OPEN' END AS status FROM (SELECT run_id, max(ts) AS x, arg_max(action, step) AS a FROM t GROUP BY 1)",
     "str14_lockouts": _T + "SELECT run_id, step, recent FROM (SELECT run_id, step, count(*) OVER (PARTITION BY run_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS recent FROM t WHERE NOT success) WHERE recent >= 2",
     "str18_sticky_rejection": _T + "SELECT run_id, arg_max(CASE WHEN k % 7 = 0 THEN 'rejected' ELSE 'cleared' END, step) AS state FROM t WHERE k % 7 = 0 OR action = 'finish' GROUP BY 1",

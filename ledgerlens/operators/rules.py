@@ -186,15 +186,17 @@ SIGNALS = list(MEMORY_STEPS)
 
 
 def memory_step(status: Column, signal: Column) -> Column:
-    """The next step if the work item's linked history is pending, else the baseline; a signal outside the domain is verified."""
+    """The next step if the work item's linked history is pending and there is a signal, else the baseline; a signal outside the domain is verified."""
     steps = F.create_map(*[F.lit(x) for pair in MEMORY_STEPS.items() for x in pair])
-    return F.when(F.coalesce(status, F.lit("none")) != "pending", "continue_normal_processing").otherwise(F.coalesce(F.element_at(steps, signal), F.lit("verify_using_trusted_evidence")))
+    return F.when((F.coalesce(status, F.lit("none")) != "pending") | signal.isNull(), "continue_normal_processing").otherwise(F.coalesce(F.element_at(steps, signal), F.lit("verify_using_trusted_evidence")))
 
 
-def memory_change_rate(rows: DataFrame) -> DataFrame:
-    """rows: status, signal. Signals and the share of them whose step differs from the one without history; NULL if there are none."""
-    step = memory_step(F.col("status"), F.col("signal"))
-    return rows.agg(F.count("*").alias("n"), F.count_if(step != "continue_normal_processing").alias("n_changed"), F.try_divide(F.count_if(step != "continue_normal_processing").cast("double"), F.count("*")).alias("share"))
+def memory_change_rate(rows: DataFrame, bar: float = 0.25) -> DataFrame:
+    """rows: status, signal. Of the items that require history: their number, those whose step differs from that of the same item without history, the share, and whether it meets the bar; NULL if there are none."""
+    asked = rows.where("status = 'pending'")
+    differs = F.count_if(memory_step(F.col("status"), F.col("signal")) != memory_step(F.lit("none"), F.col("signal")))
+    share = F.try_divide(differs.cast("double"), F.count("*"))
+    return asked.agg(F.count("*").alias("n"), differs.alias("n_changed"), share.alias("share"), (share >= bar).alias("meets_bar"))
 
 
 def _signals(spark, sf_dir):
@@ -238,7 +240,7 @@ _EDGES = "(VALUES " + ", ".join(f"('{a}', '{b}')" for a, b, _ in ALARM_EDGES) +
 _M = f"WITH m AS (SELECT {ALARM_STATES}[k % 7 + 1] AS from_state, {ALARM_STATES}[k // 7 % 7 + 1] AS to_state FROM (SELECT CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)) "
 _MEMORY = f"""WITH m(signal, step) AS (VALUES {", ".join(str(x) for x in MEMORY_STEPS.items())}), k AS (SELECT event_id AS workflow_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events),
 r AS (SELECT workflow_id, k % 11 <> 0 AND k % 2 = 1 AS pending, CASE WHEN k % 13 <> 0 THEN {SIGNALS}[k % 7 + 1] END AS signal FROM k),
-s AS (SELECT workflow_id, CASE WHEN NOT pending THEN 'continue_normal_processing' ELSE coalesce(step, 'verify_using_trusted_evidence') END AS next_step FROM r LEFT JOIN m USING (signal)) """
+s AS (SELECT workflow_id, pending, CASE WHEN NOT pending OR signal IS NULL THEN 'continue_normal_processing' ELSE coalesce(step, 'verify_using_trusted_evidence') END AS next_step FROM r LEFT JOIN m USING (signal)) """
 SQL = {
     "prj1_band": _S + "SELECT CASE WHEN NOT ok THEN 'FAIL_CLOSED' WHEN score >= 0.95 THEN 'AGENT_S' WHEN score >= 0.8 THEN 'TELL_VERIFY' ELSE 'AGENT_1' END AS band, count(*) AS n FROM v GROUP BY 1",
     "prj2_binary_route": _S + "SELECT CASE WHEN NOT ok OR score >= 0.95 THEN 'agent_s' ELSE 'agent_1' END AS route, count(*) AS n, count(*) FILTER (ok) AS stored FROM v GROUP BY 1",
@@ -253,7 +255,7 @@ SQL = {
     "prj13_illegal_transitions": _M + f"SELECT from_state, to_state, count(*) AS n FROM m ANTI JOIN {_EDGES} USING (from_state, to_state) GROUP BY 1, 2",
     "prj14_gate_state": _M + "SELECT CASE from_state WHEN 'clear' THEN 'clear' WHEN 'resolved' THEN 'recovered' ELSE 'unresolved' END AS gate_state, from_state = 'resolved' AS recovery_resolved, count(*) AS n FROM m GROUP BY 1, 2",
     "prj15_memory_step": _MEMORY + "SELECT workflow_id, next_step FROM s",
-    "agg59_memory_change_rate": _MEMORY + "SELECT count(*) AS n, count(*) FILTER (next_step <> 'continue_normal_processing') AS n_changed, count(*) FILTER (next_step <> 'continue_normal_processing')::DOUBLE / nullif(count(*), 0) AS share FROM s",
+    "agg59_memory_change_rate": _MEMORY + "SELECT count(*) AS n, count(*) FILTER (next_step <> 'continue_normal_processing') AS n_changed, count(*) FILTER (next_step <> 'continue_normal_processing')::DOUBLE / nullif(count(*), 0) AS share, count(*) FILTER (next_step <> 'continue_normal_processing')::DOUBLE / nullif(count(*), 0) >= 0.25 AS meets_bar FROM s WHERE pending",
     "prj28_attack_outcome": f"WITH i AS ({INTENTS}) SELECT CASE WHEN intent_id % 13 = 0 THEN 'invalid_fail_closed' WHEN intent_id % 4 = 0 THEN 'safe_request_review' WHEN beneficiary_id = 7 THEN 'unsafe_target_redirect' WHEN beneficiary_id = 5 THEN 'safe_canonical_payment' ELSE 'unsafe_other_beneficiary' END AS outcome, count(*) AS n FROM i GROUP BY 1",
     "prj44_orchestration": _J + f""", r AS (SELECT *, (intent_id % 101) / 100.0::DOUBLE >= {OPERATING_THRESHOLD} AS a FROM f), x AS (SELECT *, CASE WHEN NOT a THEN 'clear' WHEN outcome = 'valid' THEN 'resolved' ELSE 'awaiting_human_verification' END AS state FROM r),
         y AS (SELECT *, CASE WHEN amount_minor_units <= 0 THEN 'structurally_invalid' WHEN state = 'clear' THEN 'clear_state_permitted' WHEN state = 'resolved' THEN 'recovery_resolved_permitted' ELSE 'alarm_unresolved' END AS reason FROM x)

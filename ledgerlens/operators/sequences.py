@@ -31,21 +31,31 @@ def until_first(rows: DataFrame, action: str) -> DataFrame:
     return rows.withColumn("over", F.coalesce(F.max(F.col("action") == action).over(before), F.lit(False))).where(~F.col("over")).drop("over")
 
 
+def _given(rows: DataFrame, column: str, default: Column) -> Column:
+    return F.coalesce(F.col(column), default) if column in rows.columns else default
+
+
 def with_seen(rows: DataFrame) -> DataFrame:
-    """For each source whether the run has seen it before the step; premature marks a terminal step without all needed."""
+    """For each source whether it was prefetched or the run has seen it before the step; premature marks a terminal step without all needed.
+
+    Memory is needed where history_required says so. Rows without the columns history_required and prefetched_sources need and have none.
+    """
     before = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    seen = {s: F.coalesce(F.max((F.col("action") == tool) & F.col("success")).over(before), F.lit(False)).alias(f"seen_{s}") for tool, s in TOOLS.items()}
+    history, prefetched = _given(rows, "history_required", F.lit(False)), _given(rows, "prefetched_sources", F.array().cast("array<string>"))
+    seen = {s: (F.coalesce(F.max((F.col("action") == tool) & F.col("success")).over(before), F.lit(False)) | F.array_contains(prefetched, s)).alias(f"seen_{s}") for tool, s in TOOLS.items()}
     marked = rows.select("*", *seen.values())
-    return marked.withColumn("premature", (F.col("action") == "finish") & ~(F.col("seen_email") & F.col("seen_invoice") & F.col("seen_vendor")))
+    complete = F.col("seen_email") & F.col("seen_invoice") & F.col("seen_vendor") & (F.col("seen_memory") | ~history)
+    return marked.withColumn("premature", (F.col("action") == "finish") & ~complete)
 
 
 def trajectory_rates(rows: DataFrame) -> DataFrame:
+    """Rates over the steps up to the first terminal one. A tool call is unnecessary if it repeats, or its source isn't needed or was seen."""
     marked = with_seen(until_first(with_repeats(rows), "finish"))
     tool, lookup, end = F.col("action") != "finish", F.col("action") == "get_vendor_record", F.col("action") == "finish"
-    again = F.lit(False)
+    again = (F.col("action") == "search_memory") & ~_given(rows, "history_required", F.lit(False))
     for name, source in TOOLS.items():
         again = again | ((F.col("action") == name) & F.col(f"seen_{source}"))
-    needless = tool & (F.col("repeat") | (F.col("action") == "search_memory") | again)
+    needless = tool & (F.col("repeat") | again)
     c = marked.agg(F.count_if(tool).alias("tool_calls"), F.count_if(F.col("repeat")).alias("repeats"), F.count_if(lookup).alias("lookups"), F.count_if(lookup & F.col("repeat")).alias("repeated_lookups"), F.count_if(needless).alias("unnecessary"), F.count_if(end).alias("terminals"), F.count_if(F.col("premature")).alias("premature"))
     r = lambda a, b, name: rate(F.col(a), F.col(b)).alias(name)
     return c.select("*", r("repeats", "tool_calls", "repeat_rate"), r("repeated_lookups", "lookups", "repeated_lookup_rate"), r("unnecessary", "tool_calls", "unnecessary_rate"), r("premature", "terminals", "premature_rate"))
@@ -124,15 +134,27 @@ def sections(rows: DataFrame) -> DataFrame:
 
 
 def loops(rows: DataFrame) -> DataFrame:
-    """The first step of each run that repeats a call already made."""
+    """The first step of each run that repeats a read already made; terminal steps are no reads."""
     nth = F.row_number().over(Window.partitionBy("run_id", "action", "args").orderBy("step"))
-    return rows.withColumn("nth", nth).where("nth > 1").groupBy("run_id").agg(F.min("step").alias("stop_at"))
+    return rows.where("action <> 'finish'").withColumn("nth", nth).where("nth > 1").groupBy("run_id").agg(F.min("step").alias("stop_at"))
 
 
-def latch(rows: DataFrame, threshold: float) -> DataFrame:
-    """Once a run's score reached the threshold, every later step is the second agent's."""
-    upto = Window.partitionBy("run_id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("latched", F.max(F.col("score") >= threshold).over(upto)).groupBy("run_id").agg(F.count_if("latched").alias("second_agent_steps"), F.min(F.when(F.col("latched"), F.col("step"))).alias("since"))
+def routing_decisions(rows: DataFrame, alarm: float, verify: float) -> DataFrame:
+    """run_id, step, score, decision of each run's one routing decision: at the first step with email, invoice and vendor record in context.
+
+    alarm from the one threshold on and for scores that are no number in [0, 1], verify from the other, else clear. Readings before and after it only monitor.
+    """
+    ready = with_seen(rows).where("seen_email and seen_invoice and seen_vendor")
+    first = ready.groupBy("run_id").agg(F.min_by(F.struct("step", "score"), "step").alias("x")).select("run_id", "x.*")
+    valid = F.coalesce(F.col("score").between(0, 1) & ~F.isnan("score"), F.lit(False))
+    return first.withColumn("decision", F.when(~valid | (F.col("score") >= alarm), "alarm").when(F.col("score") >= verify, "verify").otherwise("clear"))
+
+
+def latch(rows: DataFrame, alarm: float, verify: float) -> DataFrame:
+    """Every run: its decision (NULL if it never had all sources), and the steps from it on, which the second agent takes after an alarm or in verify mode."""
+    decided = routing_decisions(rows, alarm, verify).select("run_id", F.col("step").alias("since"), "decision")
+    second = F.count_if((F.col("step") >= F.col("since")) & F.col("decision").isin("alarm", "verify"))
+    return rows.select("run_id", "step").join(decided, "run_id", "left").groupBy("run_id", "since", "decision").agg(second.alias("second_agent_steps"))
 
 
 def failures_in_window(rows: DataFrame, seconds: int, limit: int) -> DataFrame:
@@ -174,10 +196,16 @@ def memory_decisions(rows: DataFrame) -> DataFrame:
     return c.select("*", r(tp, tp + fp).alias("precision"), r(tp, tp + fn).alias("recall"), r(fp, F.col("negatives")).alias("unnecessary"))
 
 
+def trajectories(spark, sf_dir):
+    """Steps with what a run needs and what it was given; a third of the runs need history."""
+    prefetched = F.when(F.col("run_id") % 4 == 0, F.array(F.lit("memory"))).when(F.col("run_id") % 7 == 0, F.array(F.lit("email")))
+    return steps(spark, sf_dir).withColumns({"history_required": F.col("run_id") % 3 == 0, "prefetched_sources": prefetched})
+
+
 QUERIES = {
     "win1_repeated_calls": lambda s, d: with_repeats(steps(s, d)).groupBy("run_id").agg(F.count_if("repeat").alias("repeats")),
     "win2_first_success": lambda s, d: first_rows(steps(s, d)),
-    "win3_premature": lambda s, d: with_seen(until_first(steps(s, d), "finish")).where("premature").select("run_id", "step"),
+    "win3_premature": lambda s, d: with_seen(until_first(trajectories(s, d), "finish")).where("premature").select("run_id", "step"),
     "win4_last_result": lambda s, d: last_result(steps(s, d)),
     "win5_frozen_score": lambda s, d: frozen_score(steps(s, d)),
     "win11_sequence_gaps": lambda s, d: gap_free(steps(s, d)),
@@ -186,10 +214,11 @@ QUERIES = {
     "win15_state_at": lambda s, d: state_at(steps(s, d)),
     "win16_sections": lambda s, d: sections(steps(s, d)),
     "win21_loops": lambda s, d: loops(steps(s, d)),
-    "agg25_trajectory_rates": lambda s, d: trajectory_rates(steps(s, d)),
+    "agg25_trajectory_rates": lambda s, d: trajectory_rates(trajectories(s, d)),
     "agg26_evidence_accuracy": lambda s, d: evidence_accuracy(steps(s, d)),
     "agg27_memory_decisions": lambda s, d: memory_decisions(steps(s, d)),
-    "str9_latch": lambda s, d: latch(steps(s, d), 0.98),
+    "str9_latch": lambda s, d: latch(steps(s, d), 0.95, 0.8),
+    "str10_first_alarm": lambda s, d: routing_decisions(steps(s, d), 0.95, 0.8),
     "str13_failure_window": lambda s, d: failures_in_window(steps(s, d), 86_400, 3),
     "j23_as_of": lambda s, d: as_of(steps(s, d)),
 }
@@ -198,7 +227,10 @@ _T = f"WITH t AS ({STEPS}) "
 _SEEN = ", ".join(f"coalesce(bool_or(action = '{a}' AND success) OVER w, false) AS seen_{s}" for a, s in TOOLS.items())
 _W = "WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 _REP = ", r AS (SELECT *, action <> 'finish' AND coalesce(lag(success AND NOT stale) OVER (PARTITION BY run_id, action, args ORDER BY step), false) AS repeat FROM t)"
-_CUT = ", u AS (SELECT * FROM (SELECT *, coalesce(bool_or(action = 'finish') OVER w, false) AS done FROM r " + _W + f") WHERE NOT done), m AS (SELECT *, {_SEEN} FROM u {_W}), p AS (SELECT *, action = 'finish' AND NOT (seen_email AND seen_invoice AND seen_vendor) AS premature FROM m) "
+_GIVEN = {"memory": "run_id % 4 = 0", "email": "run_id % 4 <> 0 AND run_id % 7 = 0"}
+_HAD = ", ".join(f"coalesce(bool_or(action = '{a}' AND success) OVER w, false) OR ({_GIVEN.get(s, 'false')}) AS seen_{s}" for a, s in TOOLS.items())
+_CUT = ", u AS (SELECT * FROM (SELECT *, coalesce(bool_or(action = 'finish') OVER w, false) AS done FROM r " + _W + f") WHERE NOT done), m AS (SELECT *, {_HAD} FROM u {_W}), p AS (SELECT *, action = 'finish' AND NOT (seen_email AND seen_invoice AND seen_vendor AND (seen_memory OR run_id % 3 <> 0)) AS premature FROM m) "
+_DECIDED = f", m AS (SELECT *, {_SEEN} FROM t {_W}), d AS (SELECT run_id, step, score, CASE WHEN score >= 0.95 THEN 'alarm' WHEN score >= 0.8 THEN 'verify' ELSE 'clear' END AS decision FROM m WHERE seen_email AND seen_invoice AND seen_vendor QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step) = 1) "
 SQL = {
     "win1_repeated_calls": _T + _REP + " SELECT run_id, count(*) FILTER (repeat) AS repeats FROM r GROUP BY 1",
     "win2_first_success": _T + "SELECT run_id, step, action FROM t WHERE success QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY step) = 1",
@@ -209,15 +241,16 @@ SQL = {
     "win12_merged_turns": "SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY role <> 'system', turn) - 1 AS INT) AS sequence FROM conversations",
     "win15_state_at": _T + "SELECT run_id, step, last_value(CASE WHEN action = 'get_vendor_record' THEN args END IGNORE NULLS) OVER w AS vendor_args, last_value(CASE WHEN success THEN score END IGNORE NULLS) OVER w AS score FROM t WINDOW w AS (PARTITION BY run_id ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "win16_sections": _T + "SELECT run_id, " + ", ".join(f"count(*) FILTER (action = '{a}') AS n_{a}, arg_max(args, step) FILTER (action = '{a}') AS last_{a}" for a in [*TOOLS, "finish"]) + " FROM t GROUP BY 1",
-    "win21_loops": _T + "SELECT run_id, min(step) AS stop_at FROM (SELECT run_id, step FROM t QUALIFY row_number() OVER (PARTITION BY run_id, action, args ORDER BY step) > 1) GROUP BY 1",
+    "win21_loops": _T + "SELECT run_id, min(step) AS stop_at FROM (SELECT run_id, step FROM t WHERE action <> 'finish' QUALIFY row_number() OVER (PARTITION BY run_id, action, args ORDER BY step) > 1) GROUP BY 1",
     "agg25_trajectory_rates": _T + _REP + _CUT + """, c AS (SELECT count(*) FILTER (action <> 'finish') AS tool_calls, count(*) FILTER (repeat) AS repeats, count(*) FILTER (action = 'get_vendor_record') AS lookups, count(*) FILTER (action = 'get_vendor_record' AND repeat) AS repeated_lookups,
-        count(*) FILTER (action <> 'finish' AND (repeat OR action = 'search_memory' OR (action = 'read_email' AND seen_email) OR (action = 'read_invoice' AND seen_invoice) OR (action = 'get_vendor_record' AND seen_vendor))) AS unnecessary, count(*) FILTER (action = 'finish') AS terminals, count(*) FILTER (premature) AS premature FROM p)
+        count(*) FILTER (action <> 'finish' AND (repeat OR (action = 'search_memory' AND (run_id % 3 <> 0 OR seen_memory)) OR (action = 'read_email' AND seen_email) OR (action = 'read_invoice' AND seen_invoice) OR (action = 'get_vendor_record' AND seen_vendor))) AS unnecessary, count(*) FILTER (action = 'finish') AS terminals, count(*) FILTER (premature) AS premature FROM p)
         SELECT *, repeats / nullif(tool_calls, 0) AS repeat_rate, repeated_lookups / nullif(lookups, 0) AS repeated_lookup_rate, unnecessary / nullif(tool_calls, 0) AS unnecessary_rate, premature / nullif(terminals, 0) AS premature_rate FROM c""",
     "agg26_evidence_accuracy": _T + f""", m AS (SELECT *, {_SEEN} FROM t {_W}), k AS (SELECT concat_ws('+', CASE WHEN seen_email THEN 'email' END, CASE WHEN seen_invoice THEN 'invoice' END, CASE WHEN seen_vendor THEN 'vendor' END, CASE WHEN seen_memory THEN 'memory' END) AS e, success FROM m)
         SELECT coalesce(e, 'overall') AS evidence, count(*) FILTER (success) AS correct, count(*) AS n, round(count(*) FILTER (success) / count(*), 4) AS rate FROM (SELECT CASE WHEN e = '' THEN 'none' ELSE e END AS e, success FROM k) GROUP BY ROLLUP (e)""",
     "agg27_memory_decisions": _T + """, c AS (SELECT count(*) FILTER (n AND a) AS tp, count(*) FILTER (NOT n AND a) AS fp, count(*) FILTER (n AND NOT a) AS fn, count(*) FILTER (NOT n) AS negatives FROM (SELECT k % 3 = 0 AS n, action = 'search_memory' AS a FROM t))
         SELECT *, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(fp / nullif(negatives, 0), 4) AS unnecessary FROM c""",
-    "str9_latch": _T + "SELECT run_id, count(*) FILTER (l) AS second_agent_steps, min(step) FILTER (l) AS since FROM (SELECT *, bool_or(score >= 0.98) OVER (PARTITION BY run_id ORDER BY step) AS l FROM t) GROUP BY 1",
+    "str9_latch": _T + _DECIDED + "SELECT t.run_id, d.step AS since, decision, count(*) FILTER (t.step >= d.step AND decision <> 'clear') AS second_agent_steps FROM t LEFT JOIN d USING (run_id) GROUP BY ALL",
+    "str10_first_alarm": _T + _DECIDED + "SELECT * FROM d",
     "str13_failure_window": _T + "SELECT run_id, count(*) AS locked, max(fails) AS most FROM (SELECT run_id, count(*) OVER (PARTITION BY run_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS fails FROM t WHERE NOT success) WHERE fails >= 3 GROUP BY 1",
     "j23_as_of": _T + """, o AS (SELECT run_id, min(step) AS onset FROM t WHERE score >= 0.97 GROUP BY 1), s AS (SELECT run_id, max(step) AS source_step FROM t JOIN o USING (run_id) WHERE action = 'read_email' AND step <= onset GROUP BY 1),
         l AS (SELECT run_id, max(step) AS lookup_step, arg_max(args, step) AS lookup_args FROM t JOIN s USING (run_id) WHERE action = 'get_vendor_record' AND success AND step > source_step GROUP BY 1)

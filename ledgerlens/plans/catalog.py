@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.payments", "operators.layout", "operators.bounds", "operators.resampling", "operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "operators.registers", "functions.scalars"]
+MODULES = ["operators.payments", "operators.layout", "operators.bounds", "operators.resampling", "operators.selection", "operators.epochs", "operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "operators.registers", "functions.scalars"]
 
 
 def _all(what: str) -> dict:

@@ -4,7 +4,7 @@ import hashlib
 import json
 import math
 
-from ledgerlens.operators import corpus, rates, rules, sequences, thresholds
+from ledgerlens.operators import corpus, rates, registers, rules, sequences, thresholds
 from pyspark.sql import functions as F
 
 
@@ -92,5 +92,48 @@ def test_unknown_values_fail_closed(spark):
 
 def test_memory_steps(spark):
     rows = spark.createDataFrame([("pending", "previous_dispute"), ("none", "previous_dispute"), ("pending", None), (None, "previous_dispute"), ("pending", "clean_operational_note")], "status string, signal string")
-    assert [r[0] for r in rows.select(rules.memory_step(F.col("status"), F.col("signal"))).collect()] == ["check_trusted_dispute_case_status", "continue_normal_processing", "verify_using_trusted_evidence", "continue_normal_processing", "continue_normal_processing"]
-    assert rules.memory_change_rate(rows.limit(0)).first().share is None
+    assert [r[0] for r in rows.select(rules.memory_step(F.col("status"), F.col("signal"))).collect()] == ["check_trusted_dispute_case_status", "continue_normal_processing", "continue_normal_processing", "continue_normal_processing", "continue_normal_processing"]
+    assert tuple(rules.memory_change_rate(rows).first()) == (3, 1, 1 / 3, True)
+    assert tuple(rules.memory_change_rate(rows.limit(0)).first()) == (0, 0, None, None)
+    odd = spark.createDataFrame([("pending", "no such signal")], rows.schema)
+    assert odd.select(rules.memory_step(F.col("status"), F.col("signal"))).first()[0] == "verify_using_trusted_evidence"
+
+
+STEP = "run_id long, step int, action string, args string, success boolean, stale boolean, score double"
+
+
+def test_routing_is_decided_once(spark):
+    sources = ["read_email", "read_invoice", "get_vendor_record"]
+    run = lambda r, actions, scores, failed=(): [(r, i, a, "x", i not in failed, False, s) for i, (a, s) in enumerate(zip(actions, scores))]
+    rows = [
+        *run(1, [*sources, "finish", "finish"], [0.99, 0.99, 0.99, 0.5, 0.99]),  # early and late readings only monitor
+        *run(2, [*sources, "finish", "finish"], [0.1, 0.1, 0.1, 0.96, 0.1]),
+        *run(3, [*sources, "finish"], [0.1, 0.1, 0.1, 0.85]),
+        *run(4, [*sources, "finish"], [0.99] * 4, failed={2}),  # never had the vendor record
+        *run(5, [*sources, "finish"], [0.1, 0.1, 0.1, None]),  # fails closed
+    ]
+    table = spark.createDataFrame(rows, STEP)
+    got = {r.run_id: (r.since, r.decision, r.second_agent_steps) for r in sequences.latch(table, 0.95, 0.8).collect()}
+    assert got == {1: (3, "clear", 0), 2: (3, "alarm", 2), 3: (3, "verify", 1), 4: (None, None, 0), 5: (3, "alarm", 1)}
+    assert {r.run_id for r in sequences.routing_decisions(table, 0.95, 0.8).collect()} == {1, 2, 3, 5}
+
+
+def test_history_and_prefetched_sources(spark):
+    schema = STEP + ", history_required boolean, prefetched_sources array<string>"
+    read = ["read_email", "read_invoice", "get_vendor_record"]
+    run = lambda r, actions, history, had: [(r, i, a, "x", True, False, 0.1, history, had) for i, a in enumerate(actions)]
+    rows = [*run(1, [*read, "finish"], True, None), *run(2, [*read, "finish"], True, ["memory"]), *run(3, [*read, "search_memory", "finish"], True, None), *run(4, [*read, "search_memory", "finish"], False, None), *run(5, ["read_email", "read_invoice", "get_vendor_record", "finish"], None, ["email"])]
+    table = spark.createDataFrame(rows, schema)
+    assert [r.run_id for r in sequences.with_seen(table).where("premature").collect()] == [1]
+    found = sequences.trajectory_rates(table).first()
+    assert (found.tool_calls, found.unnecessary, found.terminals, found.premature) == (17, 2, 5, 1)
+
+
+def test_loops_are_of_reads(spark):
+    rows = [(1, 0, "finish", "x", True, False, 0.1), (1, 1, "finish", "x", True, False, 0.1), (2, 0, "read_email", "x", False, False, 0.1), (2, 1, "read_email", "x", True, False, 0.1), (2, 2, "read_email", "x", True, False, 0.1)]
+    assert [tuple(r) for r in sequences.loops(spark.createDataFrame(rows, STEP)).collect()] == [(2, 1)]
+
+
+def test_a_run_without_success_is_at_the_first_stage(spark):
+    rows = [(1, 0, "read_email", "x", False, False, 0.1), *((2, i, a, "x", True, False, 0.1) for i, a in enumerate(registers.STAGES)), (3, 0, "read_invoice", "x", True, False, 0.1)]
+    assert {r.run_id: r.stage for r in registers.active_stage(spark.createDataFrame(rows, STEP)).collect()} == {1: "read_email", 2: None, 3: "read_email"}
