@@ -13,13 +13,11 @@ samples follow the unseen ones, and an epoch has at most every sample once.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.corpus import ranked_in_bands, seeded_order
-from ledgerlens.sources.shared import settled
+from ledgerlens.sources.shared import filesystem, put_whole, settled
 from ledgerlens.sources.tables import read
 
 
@@ -63,24 +61,15 @@ def opening(pool: DataFrame) -> DataFrame:
     return pool.select("sample_id", "document", F.lit(0).cast("long").alias("exposure"))
 
 
-def _path(spark: SparkSession, place: str):
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
 def run_epoch(pool: DataFrame, folder: str, epoch: int, slots: int, seed: str) -> DataFrame:
     """The state after the epoch, from the table in folder; drawn and added to the table unless it is there. Epochs run in order, from 0."""
     spark = pool.sparkSession
     place = lambda e: f"{folder}/epoch-{e:06d}"
-    fs, target = _path(spark, place(epoch))
-    if not fs.exists(target):
-        if epoch and not fs.exists(_path(spark, place(epoch - 1))[1]):
+    there = lambda e: (lambda fs, path: fs.exists(path))(*filesystem(spark, place(e)))
+    if not there(epoch):
+        if epoch and not there(epoch - 1):
             raise ValueError(f"epoch {epoch - 1} has not been drawn")
-        before = spark.read.parquet(place(epoch - 1)) if epoch else opening(pool)
-        aside = f"{folder}/_drawing-{uuid.uuid4().hex}"
-        stepped(before, slots, seed, epoch).write.parquet(aside)
-        if not fs.rename(_path(spark, aside)[1], target) and not fs.exists(target):
-            raise OSError(f"{aside} could not be moved to {place(epoch)}")
+        put_whole(stepped(spark.read.parquet(place(epoch - 1)) if epoch else opening(pool), slots, seed, epoch), place(epoch))
     return spark.read.parquet(place(epoch))
 
 
