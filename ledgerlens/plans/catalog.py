@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["operators.payments", "operators.layout", "operators.bounds", "operators.resampling", "operators.selection", "operators.epochs", "operators.probes", "operators.outcomes", "operators.integrity", "operators.arms", "operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "operators.registers", "functions.scalars", "functions.text", "sources.files"]
+MODULES = ["operators.payments", "operators.layout", "operators.bounds", "operators.resampling", "operators.selection", "operators.epochs", "operators.probes", "operators.outcomes", "operators.integrity", "operators.arms", "operators.policy", "operators.rates", "operators.thresholds", "operators.rules", "operators.sequences", "operators.corpus", "operators.registers", "functions.scalars", "functions.text", "sources.files"]
 
 
 def _all(what: str) -> dict:
