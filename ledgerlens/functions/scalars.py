@@ -61,10 +61,6 @@ def account_id(salt: str, population: str, key: Column, role: str) -> Column:
     return F.concat(F.lit("SIM-ACCT-"), F.upper(F.substring(F.sha2(F.concat(F.lit(f"{salt}:{population}:"), key.cast("string"), F.lit(f":{role}")), 256), 1, 12)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def largest_remainder(weights: DataFrame, total: int, key: str, weight: str) -> DataFrame:
     """Whole shares of total in proportion to the weights; remainders by size, then key. Sums to total exactly."""
     quota = F.lit(total).cast("decimal(38,0)") * F.col(weight)
@@ -75,10 +71,18 @@ def largest_remainder(weights: DataFrame, total: int, key: str, weight: str) ->
     return parts.select(key, (F.col("__floor") + (place <= left).cast("int")).alias("share"))
 
 
-def break_even(costs: DataFrame) -> DataFrame:
-    """Avoided cost, months to break even (NULL if nothing is avoided), and net savings over a year."""
-    avoided = F.col("workflows") * F.col("price") - F.col("opex")
-    return costs.select("workflows", "price", avoided.alias("avoided"), F.when(avoided > 0, F.col("hardware") / avoided).alias("months"), (12 * avoided - F.col("hardware")).alias("net_year"), F.ceil(F.when(F.col("price") > 0, (F.col("hardware") / 12 + F.col("opex")) / F.col("price")) - 1e-9).alias("least_workflows"))
+def economics(rows: DataFrame) -> DataFrame:
+    """rows with the costs of running workflows at an API and on hardware of one's own; NULL where nothing is avoided or a workflow costs nothing.
+
+    Columns: workflows (a month), input_tokens and output_tokens (a workflow), usd_in and usd_out (a million tokens), hardware, opex (a month), months, seconds (a workflow).
+    """
+    c = F.col
+    cost = c("input_tokens") / 1e6 * c("usd_in") + c("output_tokens") / 1e6 * c("usd_out")
+    needed = c("hardware") / c("months") + c("opex")
+    avoided = c("workflows") * c("cost") - c("opex")
+    workflows = F.when(c("cost") > 0, c("needed_savings") / c("cost"))
+    costed = rows.withColumn("cost", cost).withColumns({"needed_savings": needed, "avoided": avoided})
+    return costed.withColumns({"break_even_months": F.when(c("avoided") > 0, c("hardware") / c("avoided")), "required_workflows": workflows, "least_workflows": F.ceil(workflows - 1e-9), "net_savings": c("months") * c("avoided") - c("hardware"), "serial_hours": c("workflows") * c("seconds") / 3600})
 
 
 def _amounts(s, d):
@@ -88,8 +92,28 @@ def _amounts(s, d):
     return intents(s, d).select("intent_id", text.alias("t"))
 
 
-def _costs(s):
-    return s.createDataFrame([(w, p) for w in (100, 1000, 10000) for p in (0.0, 0.05, 0.25)], "workflows long, price double").withColumn("hardware", F.lit(6500.0)).withColumn("opex", F.lit(10.0))
+#: Workloads of customers: their orders are the workflows, prices stand for tokens.
+WORKLOADS = """
+SELECT o_custkey, count(*) AS workflows, avg(o_totalprice) AS input_tokens, 500.0 + o_custkey % 300 AS output_tokens, o_custkey % 4 * 0.75 AS usd_in, o_custkey % 3 * 5.0 AS usd_out, 1.0 + o_custkey % 10 AS hardware, o_custkey % 5 * 0.125 AS opex, 12 AS months, 30.0 + o_custkey % 60 AS seconds
+FROM orders GROUP BY o_custkey
+"""
+_ECONOMICS = ["cost", "needed_savings", "avoided", "break_even_months", "required_workflows", "net_savings", "serial_hours"]
+
+
+def _economics(s, d):
+    loads = s.sql(WORKLOADS.replace("FROM orders", "FROM {orders}"), orders=read(s, d, "orders"))
+    floats = loads.select("o_custkey", *(F.col(c).cast("double").alias(c) for c in loads.columns[1:]))
+    return economics(floats).select("o_custkey", "least_workflows", *(F.round(c, 6).alias(c) for c in _ECONOMICS))
+
+
+def _ibans(s, d):
+    """German account numbers of suppliers with their check digits, some wrong, some spaced or in lower case, some no IBANs."""
+    key = F.col("s_suppkey")
+    bban = F.lpad(key.cast("string"), 18, "0")
+    check = 98 - F.concat(bban, F.lit("131400")).cast("decimal(38,0)") % 97
+    text = F.concat(F.lit("DE"), F.lpad((check + F.when(key % 5 == 1, 1).otherwise(0)).cast("string"), 2, "0"), bban)
+    text = F.when(key % 5 == 2, F.lower(F.regexp_replace(text, "(.{4})", "$1 "))).when(key % 5 == 3, F.substring(text, 1, 12)).otherwise(text)
+    return read(s, d, "supplier").select("s_suppkey", text.alias("t"))
 
 
 def _words(s, d):
@@ -98,7 +122,7 @@ def _words(s, d):
 
 QUERIES = {
     "fn1_strict_amounts": lambda s, d: _amounts(s, d).select("intent_id", strict_minor_units(F.col("t")).alias("minor")),
-    "fn8_iban": lambda s, d: s.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82 WEST 1234 5698 7654 33",), ("12345",), ("de89370400440532013000",)], "t string").select("t", iban_valid(F.col("t")).alias("valid")),
+    "fn8_iban": lambda s, d: _ibans(s, d).select("s_suppkey", iban_valid(F.col("t")).alias("valid")),
     "fn10_vendor_key": lambda s, d: read(s, d, "supplier").select("s_suppkey", vendor_key(F.concat(F.lit("The "), F.col("s_name"), F.lit(", Inc."))).alias("vendor_key")),
     "fn12_bare": lambda s, d: read(s, d, "customer").select("c_custkey", bare(F.col("c_name")).alias("bare")),
     "fn21_amount_bands": lambda s, d: intents(s, d).groupBy(amount_band(F.when(F.col("intent_id") % 9 != 0, F.col("amount_minor_units"))).alias("band")).agg(F.count("*").alias("n")),
@@ -107,12 +131,14 @@ QUERIES = {
     "fn27_number_formats": lambda s, d: read(s, d, "part").groupBy(number_format(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey").cast("string")).when(F.col("p_partkey") % 3 == 1, F.col("p_brand")).otherwise(F.lit("a-b"))).alias("format")).agg(F.count("*").alias("n")),
     "fn35_sha256": lambda s, d: read(s, d, "documents").select("doc_id", F.sha2("text", 256).alias("digest")),
     "fn37_squeezed": lambda s, d: read(s, d, "documents").select("doc_id", F.length(squeezed(F.col("text"))).alias("n")),
-    "fn43_break_even": lambda s, d: break_even(_costs(s)),
+    "fn43_break_even": _economics,
     "fn56_account_ids": lambda s, d: read(s, d, "supplier").select("s_suppkey", account_id("v1", "train", F.col("s_suppkey"), "vendor").alias("account_id")),
     "win9_apportionment": lambda s, d: largest_remainder(read(s, d, "lineitem").groupBy("l_returnflag").count(), 1000, "l_returnflag", "count"),
 }
 SQL = {
     "fn1_strict_amounts": f"WITH i AS ({INTENTS}) SELECT intent_id, CASE WHEN intent_id % 6 IN (0, 1, 4) AND amount_minor_units > 0 THEN amount_minor_units END AS minor FROM i",
+    "fn8_iban": "WITH b AS (SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR), 18, '0') AS n FROM supplier), c AS (SELECT *, 98 - CAST(n || '131400' AS HUGEINT) % 97 + CASE WHEN s_suppkey % 5 = 1 THEN 1 ELSE 0 END AS d FROM b) SELECT s_suppkey, CASE WHEN s_suppkey % 5 <> 3 THEN CAST(n || '1314' || lpad(CAST(d AS VARCHAR), 2, '0') AS HUGEINT) % 97 = 1 END AS valid FROM c",
+    "fn43_break_even": f"WITH w AS (SELECT o_custkey, CAST(workflows AS DOUBLE) AS w, input_tokens::DOUBLE / 1e6 * usd_in::DOUBLE + output_tokens::DOUBLE / 1e6 * usd_out::DOUBLE AS cost, hardware::DOUBLE AS h, opex::DOUBLE AS o, seconds::DOUBLE AS s FROM ({WORKLOADS})), a AS (SELECT *, w * cost - o AS avoided, h / 12 + o AS needed FROM w) SELECT o_custkey, CAST(ceil(CASE WHEN cost > 0 THEN needed / cost END - 1e-9) AS BIGINT) AS least_workflows, round(cost, 6) AS cost, round(needed, 6) AS needed_savings, round(avoided, 6) AS avoided, round(CASE WHEN avoided > 0 THEN h / avoided END, 6) AS break_even_months, round(CASE WHEN cost > 0 THEN needed / cost END, 6) AS required_workflows, round(12 * avoided - h, 6) AS net_savings, round(w * s / 3600, 6) AS serial_hours FROM a",
     "fn10_vendor_key": "SELECT s_suppkey, 'SUPPLIER ' || split_part(s_name, '#', 2) AS vendor_key FROM supplier",
     "fn12_bare": "SELECT c_custkey, regexp_replace(lower(c_name), '[^a-z0-9]', '', 'g') AS bare FROM customer",
     "fn21_amount_bands": f"WITH i AS ({INTENTS}) SELECT CASE WHEN intent_id % 9 = 0 THEN 'missing_or_unparseable' WHEN amount_minor_units < 10000 THEN 'under_100' WHEN amount_minor_units < 100000 THEN '100_to_1k' WHEN amount_minor_units < 1000000 THEN '1k_to_10k' WHEN amount_minor_units < 10000000 THEN '10k_to_100k' ELSE 'over_100k' END AS band, count(*) AS n FROM i GROUP BY 1",

@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 
+from ledgerlens.functions import scalars
 from ledgerlens.operators import corpus, rates, registers, rules, sequences, thresholds
 from pyspark.sql import functions as F
 
@@ -137,3 +138,16 @@ def test_loops_are_of_reads(spark):
 def test_a_run_without_success_is_at_the_first_stage(spark):
     rows = [(1, 0, "read_email", "x", False, False, 0.1), *((2, i, a, "x", True, False, 0.1) for i, a in enumerate(registers.STAGES)), (3, 0, "read_invoice", "x", True, False, 0.1)]
     assert {r.run_id: r.stage for r in registers.active_stage(spark.createDataFrame(rows, STEP)).collect()} == {1: "read_email", 2: None, 3: "read_email"}
+
+
+def test_ibans(spark):
+    rows = spark.createDataFrame([("GB82 WEST 1234 5698 7654 32",), ("GB82 WEST 1234 5698 7654 33",), ("12345",), ("de89370400440532013000",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(scalars.iban_valid(F.col("t"))).collect()] == [True, False, None, True, None, None]
+
+
+def test_economics(spark):
+    schema = "workflows double, input_tokens double, output_tokens double, usd_in double, usd_out double, hardware double, opex double, months int, seconds double"
+    rows = [(1000.0, 2e5, 1e5, 1.0, 2.0, 1200.0, 100.0, 12, 36.0), (10.0, 2e5, 1e5, 1.0, 2.0, 1200.0, 100.0, 12, 36.0), (10.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 12, 0.0), (None,) * 9]
+    got = scalars.economics(spark.createDataFrame(rows, schema)).select("cost", "avoided", "break_even_months", "needed_savings", "required_workflows", "least_workflows", "net_savings", "serial_hours").collect()
+    assert [round(x, 6) for x in got[0]] == [0.4, 300.0, 4.0, 200.0, 500.0, 500, 2400.0, 10.0]
+    assert got[1].break_even_months is None and got[1].net_savings < 0 and got[2].required_workflows is None and got[2].least_workflows is None and set(got[3]) == {None}
