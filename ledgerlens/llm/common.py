@@ -39,6 +39,14 @@ def put_shared(spark: SparkSession, name: str, data: bytes) -> str:
     return f"{base}/{name}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, whatever its case: name, with underscores after it if need be."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

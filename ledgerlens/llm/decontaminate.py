@@ -6,7 +6,8 @@ text. A passage of `window` words is a pattern; an item with fewer words, but no
 scanned once for all patterns.
 
 Defined results. Null text and empty text have no words and no hits. Items with null id or no words take no part;
-repeated items count once. Ties and repeated documents: each row is judged by itself. Extra columns are kept as they are.
+repeated items count once. Ties and repeated documents: each row is judged by itself. Texts of any length
+are scanned whole, an empty table gives an empty one. Extra columns are kept; one named like `into` is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import utf8
+from ledgerlens.llm.common import unused, utf8
 
 WINDOW = 13
 #: Patterns of so many characters at most are broadcast at once; further items get passes of their own.
@@ -148,5 +149,5 @@ def hit_spans(text: Column | str, hits: Column | str) -> Column:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of docs that aren't contaminated, with docs' own columns."""
-    judged = contamination(docs, benchmark, into="__hits", **options)
-    return judged.where(~is_contaminated("__hits")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    judged = contamination(docs, benchmark, into=(into := unused(docs, "__hits")), **options)
+    return judged.where(~is_contaminated(into)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Tables
+from ledgerlens.llm.common import Tables, unused
 from ledgerlens.llm.components import components
 
 MIN_SIMILARITY = 0.8
@@ -258,12 +258,13 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into: str | None = None, **options) -> DataFrame:
     """docs with repeated lines taken out of the text; `into` names a column for the numbers of the lines that went."""
-    gone = repeated_lines(docs, id_col, text, **options).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
-    both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__id"), "left")
+    found, own = unused(docs, "__id"), unused(docs, "__gone")
+    gone = repeated_lines(docs, id_col, text, **options).select(F.col("doc_id").alias(found), F.col("lines").alias(own))
+    both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(found), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    new = F.when(F.col("__gone").isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
+    new = F.when(F.col(own).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != into]
     if into:
-        out.append(F.coalesce("__gone", F.array().cast("array<int>")).alias(into))
+        out.append(F.coalesce(own, F.array().cast("array<int>")).alias(into))
     return both.select(*out)

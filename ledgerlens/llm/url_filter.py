@@ -7,7 +7,8 @@ search over all probes of a batch, then a comparison with the stored key, so tha
 
 Defined results. A null url, and one without `://`, has empty host and path. The longest fitting rule wins, of equally
 long ones that with the longer host. Repeated rows are judged alike. Without a fitting rule the default verdict holds.
-Of rules with one key the first in (verdict) order counts. Extra columns are kept.
+Of rules with one key the first in (verdict) order counts. Urls of any length are judged whole, an empty table gives an
+empty one. Extra columns are kept; those named host, path, rule or verdict are replaced by the result's.
 """
 
 from __future__ import annotations
