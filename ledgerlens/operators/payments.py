@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.shared import settled
 from ledgerlens.sources.tables import read
 
 #: Supported currencies, decisions and names of outcomes (fixed values).
@@ -129,10 +130,10 @@ def executions(commands: DataFrame, intents: DataFrame, decided: DataFrame, acco
 
 
 def ledger(commands: DataFrame, invoices: DataFrame, accounts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Creations, decisions and executions."""
-    made = creations(checked(commands, invoices, accounts))
+    """Creations, decisions and executions. The first two are read several times and kept as checkpoints."""
+    made = settled(creations(checked(commands, invoices, accounts)))
     intents = made.where(F.col("outcome") == CREATED)
-    decided = decisions(commands, intents)
+    decided = settled(decisions(commands, intents))
     return made, decided, executions(commands, intents, decided, accounts)
 
 
