@@ -106,3 +106,18 @@ def test_picks_need_a_margin(spark):
     rows = [("a", "x", 5.0), ("a", "x", 4.9), ("a", "y", 3.0), ("b", "x", 5.0), ("b", "y", 3.6), ("c", "x", 1.0), ("c", "y", 1.0), ("d", "x", 2.0), ("e", "x", 5.0), ("e", "y", 3.5)]
     got = {r.key: (r.value, r.rivals) for r in text.picked(spark.createDataFrame(rows, "key string, value string, score double")).collect()}
     assert got == {"a": ("x", None), "b": (None, "x|y"), "c": (None, "x|y"), "d": ("x", None), "e": ("x", None)}
+
+
+def test_identifiers_read_dates_once(spark, monkeypatch):
+    calls, find = [], text.dates_in
+    monkeypatch.setattr(text, "dates_in", lambda t: calls.append(t) or find(t))
+    line = "Invoice INV-7 of 05/06/2024 for USD 1,234.56, due 2 November 2024, CA 90210, (555) 123-4567"
+    assert [x["value"] for x in text.identifiers_in(line)] == ["INV-7"] and calls == [line]
+    split = "paid 12. 34 EUR for A-12 on 2024-05-06"  # offsets of amounts move, so their dates are read anew
+    assert [x["value"] for x in text.identifiers_in(split)] == ["A-12"] and len(calls) == 3
+    assert text.identifiers_in("no digit") == [] and len(calls) == 3
+
+
+def test_finders_of_null_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "A-12")], "id int, t string").orderBy("id")
+    assert [[x.value for x in r[0]] for r in rows.select(text.identifiers(F.col("t"))).collect()] == [[], [], ["A-12"]]
