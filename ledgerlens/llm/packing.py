@@ -14,12 +14,14 @@ lies in exactly one piece; pieces of a sequence leave no gap. Extra columns play
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import unicodedata
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache, cached_property
 from itertools import chain
 
@@ -41,7 +43,7 @@ BLOCK = 1 << 20
 CACHED_WORDS = 1_400_000
 WORDS_TOGETHER = 50
 #: Bytes of text whose words are looked up together.
-PIECE = 16 << 20
+PIECE = 4 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, `offset` long, sequence_tokens long"
 
 
@@ -51,6 +53,18 @@ _WORD = re.compile(r"[^\W\d_]+").fullmatch
 _LETTERS_THEN_SIGNS = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
+@contextmanager
+def no_collector() -> Iterator[None]:
+    """Without the search for cycles, which words and tuples of ids don't form: it would go through them again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Words(dict):
     """Token ids by chunk of text without blank or line feed: the tokenizer drops white space and never joins across it.
 
@@ -122,9 +136,10 @@ class Words(dict):
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.get, distinct))
         unseen = [i for i, x in enumerate(found) if x is None]
-        self._learn([distinct[i] for i in unseen])
-        for i in unseen:
-            found[i] = self[distinct[i]]
+        with no_collector():
+            self._learn([distinct[i] for i in unseen])
+            for i in unseen:
+                found[i] = self[distinct[i]]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum())))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), flat)

@@ -1,11 +1,14 @@
 """Vector codes, centroid clustering and best-fit packing against brute force, on small and odd tables."""
 
+import gc
 import random
+import traceback
 import zlib
 from collections import defaultdict
 from itertools import permutations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 pytest.importorskip("ledgerlens.llm.entry")
@@ -195,3 +198,26 @@ def test_islands_send_elites(spark):
         assert sorted(found) == [0, 1, 2] and all(grouping_packing.fills(found[k], s).max() <= 2048 for k, s in enumerate(sizes))
         counts.append([grouping_packing.value(found[k], s) for k, s in enumerate(sizes)])
     assert all(late <= early for early, late in zip(*counts)) and counts[0] != counts[1]
+
+
+def test_words_are_learned_in_small_pieces_without_the_collector():
+    words, runs = packing.words_of.__wrapped__(TOKENIZER), []
+    texts = [" ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)} {k}" for i in range(k, 6000, 3)) for k in range(3)]
+    whole = [words.ids(x).tolist() for x in texts]
+    words.clear()
+    gc.callbacks.append(count := lambda phase, _: runs.append(phase) if any(f.name == "_learn" for f in traceback.extract_stack()) else None)
+    found, at = words.tokens(pa.array(texts))
+    gc.callbacks.remove(count)
+    assert [found[a:b].tolist() for a, b in zip(at, at[1:])] == whole
+    assert not runs and gc.isenabled()
+
+    class Sizes:
+        seen = []
+
+        def tokens(self, texts):
+            self.seen.append(sum(len(x) for x in texts.to_pylist()))
+            return np.arange(len(texts)), np.arange(len(texts) + 1)
+
+    docs = pa.RecordBatch.from_arrays([pa.array(range(96)), pa.array(["x" * (1 << 17)] * 96)], names=["doc_id", "text"])
+    assert sum(len(x) for x in packing.blocks([docs], Sizes())) == 96
+    assert sum(Sizes.seen) == 96 << 17 and max(Sizes.seen) <= (4 << 20) + (1 << 17)
