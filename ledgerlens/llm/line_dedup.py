@@ -15,10 +15,13 @@ Where classes meet, each is compared with the place's centre, which is the class
 places (of copies of one line with different changes, the least changed); the links found are joined into groups.
 While the places where classes of different groups meet hold many pairs, each of their classes is compared with one more
 of its place, drawn by hash, and the groups are joined again. Only classes of different groups that still meet then are
-compared pair by pair. So a large group of similar lines costs
-a comparison a line, not one a pair, and no link between different groups is lost. A pair is verified by its edit
+compared pair by pair, after their lengths and, if they are compared by word, maps of their words: a word that the other
+line hasn't is an edit, so neither bound parts similar lines. So a large group of similar lines costs
+a comparison a line, not one a pair, and no link between different groups that meet is lost. Lines of different groups that
+share a place and no more still cost a look at both maps a pair. A pair is verified by its edit
 similarity, 1 - edits / characters of the longer line (words in lines of over 240 characters), of at least
-min_similarity. One occurrence of each connected
+min_similarity, whatever words it shares. Similar lines that meet nowhere aren't linked: words that all are changed leave no
+block of words equal. One occurrence of each connected
 group stays: that of the smallest id and, within it, line.
 
 Defined results. Null and empty texts stay as they are. Lines without letter or digit stay. Lines of fewer than three
@@ -45,12 +48,12 @@ BLOCK_WORDS = 4
 SHORT_WORD = 3
 #: Distinct words of lines that meet on all words but one, on two of four blocks, on one of four and on one of eight. Each range overlaps the next by a fifth.
 ALL_BUT_ONE, TWO_OF_FOUR, ONE_OF_FOUR, ONE_OF_EIGHT = (3, 8), (7, 23), (20, 47), (38, 1 << 62)
-#: Lines of which this share of the distinct words is common are compared beyond a few edits.
-MIN_SHARED = 0.5
 #: Longer lines are compared word by word, as the time grows with the square of the length. A word is one of SIGNS characters.
 LONG_LINE, SIGNS, FIRST_SIGN = 240, 20480, 0x4E00
 #: While more pairs a row of a meeting place are left, each class is compared with one more of the place, for so many rounds at most.
 PAIRS_A_ROW, MAX_ROUNDS = 4, 3
+#: A line's words as so many maps of 64 bits.
+MAPS = 8
 _LINE_BITS = 4294967296
 _NOT_WORDS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f[\x{80}-\x{10ffff}&&[^\p{L}\p{M}\p{N}]]]+"
 
@@ -121,10 +124,11 @@ def with_places(lines: DataFrame) -> DataFrame:
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no, two hashes of the normalised line and its places, of every line that has words. docs: doc_id, text."""
+    """doc_id, line_no, two hashes of the normalised line, its characters and words and its places, of every line that has words. docs: doc_id, text."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("line_no", "line"))
     found = lines.select("doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''")
-    return with_places(found).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), "places")
+    sizes = F.length("norm").alias("chars"), F.size(F.split("norm", " ")).alias("words")
+    return with_places(found).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), *sizes, "places")
 
 
 def position(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -144,19 +148,17 @@ def coded(norm: Column) -> Column:
     return F.decode(F.unhex(F.array_join(F.transform(F.split(norm, " "), sign), "")), "UTF-16BE")
 
 
-def within(a: Column, b: Column, min_similarity: float, enough: Column) -> Column:
+def within(a: Column, b: Column, min_similarity: float) -> Column:
     """Edit similarity of at least min_similarity. Few edits are looked for first, since a narrow band costs less."""
     longer = F.greatest(F.length(a), F.length(b))
     most = F.floor(longer * F.lit(1 - min_similarity) + F.lit(1e-9)).cast("int")
     found = lambda part: F.call_function("levenshtein", a, b, F.floor(most / part).cast("int")) >= 0
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (found(64) | enough & (found(16) | found(4) | found(1)))
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (found(64) | found(16) | found(4) | found(1))
 
 
 def similar(a: Column, b: Column, coded_a: Column, coded_b: Column, min_similarity: float) -> Column:
-    """Edit similarity of at least min_similarity, by character or, if one has more than LONG_LINE characters, by word. More than a few edits are looked for only in lines that share MIN_SHARED of their words."""
-    one, two = F.split(a, " "), F.split(b, " ")
-    enough = F.size(F.array_intersect(one, two)) >= MIN_SHARED * F.size(F.array_union(one, two))
-    return F.when(F.greatest(F.length(a), F.length(b)) > LONG_LINE, within(coded_a, coded_b, min_similarity, enough)).otherwise(within(a, b, min_similarity, enough))
+    """Edit similarity of at least min_similarity, by character or, if one has more than LONG_LINE characters (and is null here), by word."""
+    return F.when(a.isNull() | b.isNull(), within(coded_a, coded_b, min_similarity)).otherwise(within(a, b, min_similarity))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataFrame:
@@ -168,19 +170,29 @@ def verified(pairs: DataFrame, texts: DataFrame, min_similarity: float) -> DataF
     return both.where(similar(*(F.col(x) for x in ("norm_a", "norm_b", "coded_a", "coded_b")), min_similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *others)
 
 
-def class_texts(docs: DataFrame, wanted: DataFrame, min_similarity: float) -> DataFrame:
-    """h1, pos, norm, coded of classes, from the lines that stand for them. docs: doc_id, text; wanted: h1, pos."""
+def class_texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """h1, pos, norm (null over LONG_LINE characters), coded of classes, from the lines that stand for them. docs: doc_id, text; wanted: h1, pos."""
     by_doc = wanted.select(*place_of(), F.struct("h1", "pos", place_of()[1]).alias("w")).groupBy("doc_id").agg(F.collect_list("w").alias("ws"))
     line = lambda lines, w: F.struct(w["h1"].alias("h1"), w["pos"].alias("pos"), F.trim(normalised(F.get(lines, w["line_no"]))).alias("norm"))
     found = F.get(F.transform(F.array(F.split("text", "\n")), lambda lines: F.transform("ws", lambda w: line(lines, w))), 0)
     lines = docs.where("text is not null").join(by_doc.hint("shuffle_hash"), "doc_id").select(F.inline(found)).where(F.xxhash64("norm") == F.col("h1"))
-    return lines.groupBy("h1", "pos").agg(F.min("norm").alias("norm")).withColumn("coded", F.when(F.length("norm") > LONG_LINE * min_similarity / 2, coded(F.col("norm"))))
+    short = F.when(F.length("norm") <= LONG_LINE, F.col("norm"))
+    return lines.select("h1", "pos", short.alias("norm"), coded(F.col("norm")).alias("coded")).groupBy("h1", "pos").agg(F.min("norm").alias("norm"), F.min("coded").alias("coded"))
 
 
 def still_open(named: DataFrame) -> DataFrame:
-    """The rows of places where classes of different groups meet. named: place, h1, component, chars, words."""
-    apart = named.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("place")
-    return named.select("place", "h1", "component", "chars", "words").join(apart, "place")
+    """The rows of places where classes of different groups meet. named: place, h1, component and others."""
+    rows = named.repartition("place")
+    apart = rows.groupBy("place").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("place")
+    return rows.join(apart.hint("shuffle_hash"), "place")
+
+
+def word_maps(texts: DataFrame) -> DataFrame:
+    """h1, maps: for each of MAPS a long, in which each distinct word sets a bit. texts: h1, coded."""
+    words = F.transform(F.array_distinct(F.split("coded", "")), lambda x: F.ascii(x))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 3).bitwiseAND(63))
+    one = lambda k: F.aggregate("words", F.lit(0).cast("long"), lambda found, x: F.when(x.bitwiseAND(MAPS - 1) == k, found.bitwiseOR(bit(x))).otherwise(found)).alias(f"m{k}")
+    return texts.select("h1", words.alias("words")).select("h1", F.struct(*[one(k) for k in range(MAPS)]).alias("maps"))
 
 
 def pairs_left(open_: DataFrame) -> tuple[int, int]:
@@ -190,10 +202,13 @@ def pairs_left(open_: DataFrame) -> tuple[int, int]:
     return found[0] or 0, found[1] or 0
 
 
-def may_match(one: Column, two: Column, min_similarity: float) -> Column:
-    """Whether the lengths of two lines leave room for similarity: the difference of lengths is an edit each."""
-    near = lambda x: F.abs(one[x] - two[x]) <= F.greatest(one[x], two[x]) * F.lit(1 - min_similarity) + F.lit(1e-9)
-    return F.when(F.greatest(one["chars"], two["chars"]) > LONG_LINE, near("words")).otherwise(near("chars"))
+def may_match(one: Column, two: Column, min_similarity: float, maps: bool = False) -> Column:
+    """Whether the lengths of two lines leave room for similarity, and the maps of words of those compared by word: a word more, or one that the other hasn't, is an edit."""
+    most = lambda x: F.greatest(one[x], two[x]) * F.lit(1 - min_similarity) + F.lit(1e-9)
+    near = lambda x: F.abs(one[x] - two[x]) <= most(x)
+    lacking = lambda a, b: sum((F.bit_count(a["maps"][f"m{k}"].bitwiseAND(F.bitwise_not(b["maps"][f"m{k}"]))) for k in range(MAPS)), F.lit(0))
+    words = near("words") & (lacking(one, two) <= most("words")) & (lacking(two, one) <= most("words")) if maps else near("words")
+    return F.when(F.greatest(one["chars"], two["chars"]) > LONG_LINE, words).otherwise(near("chars"))
 
 
 def paired(one: Column, two: Column) -> list[Column]:
@@ -204,26 +219,29 @@ def paired(one: Column, two: Column) -> list[Column]:
 
 def groups(docs: DataFrame, classes: DataFrame, min_similarity: float, tables: Tables) -> DataFrame:
     """node, component: the group of every class that is near another, by position. docs: doc_id, text; classes: h1, pos, places."""
-    rows = classes.select(F.explode("places").alias("place"), "h1").repartition("place")
+    rows = classes.select(F.explode("places").alias("place"), "h1", "chars", "words").repartition("place")
     sizes = rows.groupBy("place").agg(F.count("*").alias("n"), F.min("h1").alias("first"), F.max("h1").alias("last")).where("first < last").select("place", "n")
     met = tables.store("met", rows.join(sizes.hint("shuffle_hash"), "place"))
     central = met.groupBy("h1").agg(F.sum("n").alias("weight"))
-    centres = met.select("place", "h1").join(central, "h1").groupBy("place").agg(F.max(F.struct("weight", "h1")).alias("x")).select("place", F.col("x.h1").alias("x"))
+    centres = met.select("place", "h1", "chars", "words").join(central, "h1").groupBy("place").agg(F.max(F.struct("weight", "h1", "chars", "words")).alias("x"))
     members = met.select("h1").distinct()
-    texts = tables.store("texts", class_texts(docs, classes.select("h1", "pos").join(members, "h1", "left_semi"), min_similarity))
-    star = met.join(centres, "place").where("x <> h1").select(F.least("x", "h1").alias("h_a"), F.greatest("x", "h1").alias("h_b")).distinct()
+    texts = tables.store("texts", class_texts(docs, classes.select("h1", "pos").join(members, "h1", "left_semi")))
+    star = met.join(centres, "place").where((F.col("x.h1") != F.col("h1")) & may_match(F.struct("chars", "words"), F.col("x"), min_similarity)).select(F.least("x.h1", "h1").alias("h_a"), F.greatest("x.h1", "h1").alias("h_b")).distinct()
     star = tables.store("star", star)
     links = tables.store("links", verified(star, texts, min_similarity))
     found = tables.store("found", components(links))
     edges, used = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b")), ["links", "found"]
-    open_ = tables.store("open", still_open(met.join(texts.select("h1", "pos", F.length("norm").alias("chars"), F.length("coded").alias("words")), "h1").join(found, F.col("pos") == F.col("node"), "left").select("place", "h1", F.coalesce("component", "pos").alias("component"), "chars", "words")))
-    member = F.struct("h1", "component", "chars", "words")
+    named = texts.select("h1", "pos").join(found, F.col("pos") == F.col("node"), "left").select("h1", F.coalesce("component", "pos").alias("component"))
+    wide = tables.store("wide", still_open(met.join(named, "h1").select("place", "h1", "component", "chars", "words")))
+    open_ = tables.store("open", wide.join(word_maps(texts.join(wide.select("h1").distinct(), "h1", "left_semi")), "h1"))
+    tables.drop("wide")
+    member = F.struct("h1", "component", "chars", "words", "maps")
     for step in range(MAX_ROUNDS):
         n, left = pairs_left(open_)
         if left <= PAIRS_A_ROW * n:
             break
         chosen = open_.groupBy("place").agg(F.min_by(member, F.xxhash64("h1", F.lit(step))).alias("x"))
-        pairs = open_.join(chosen, "place").where((F.col("component") != F.col("x.component")) & may_match(member, F.col("x"), min_similarity)).select(*paired(member, F.col("x"))).distinct()
+        pairs = open_.join(chosen, "place").where((F.col("component") != F.col("x.component")) & may_match(member, F.col("x"), min_similarity, maps=True)).select(*paired(member, F.col("x"))).distinct()
         near = tables.store(f"near{step}", verified(pairs, texts, min_similarity).select(F.least("c_a", "c_b").alias("a"), F.greatest("c_a", "c_b").alias("b")).distinct())
         used.append(f"near{step}")
         edges = edges.unionByName(near)
@@ -231,11 +249,11 @@ def groups(docs: DataFrame, classes: DataFrame, min_similarity: float, tables: T
             break
         joined = tables.store(f"joined{step}", components(near))
         renamed = open_.join(joined.withColumnRenamed("component", "new"), F.col("component") == F.col("node"), "left")
-        before, open_ = tables.paths.pop("open"), tables.store("open", still_open(renamed.select("place", "h1", F.coalesce("new", "component").alias("component"), "chars", "words")))
+        before, open_ = tables.paths.pop("open"), tables.store("open", still_open(renamed.select("place", "h1", F.coalesce("new", "component").alias("component"), "chars", "words", "maps")))
         tables.paths[f"open{step}"] = before
         tables.drop(f"open{step}", f"joined{step}")
     one, two = (open_.select("place", member.alias(k)) for k in "xy")
-    rest = one.join(two, "place").where((F.col("x.component") < F.col("y.component")) & may_match(F.col("x"), F.col("y"), min_similarity)).select(*paired(F.col("x"), F.col("y"))).select("h_a", "h_b").distinct().join(star, ["h_a", "h_b"], "left_anti")
+    rest = one.join(two, "place").where((F.col("x.component") < F.col("y.component")) & may_match(F.col("x"), F.col("y"), min_similarity, maps=True)).select(*paired(F.col("x"), F.col("y"))).select("h_a", "h_b").distinct().join(star, ["h_a", "h_b"], "left_anti")
     more = tables.store("more", verified(rest, texts, min_similarity))
     tables.drop("met", "star", "open", "texts")
     out = tables.store("groups", components(edges.unionByName(more)))
@@ -247,7 +265,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """doc_id, lines: the numbers (from 0) of the lines that go, for documents that lose any."""
     docs, tables = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), Tables(docs.sparkSession)
     lines = tables.store("lines", line_rows(docs))
-    classes = tables.store("classes", lines.groupBy("h1", "h2", "places").agg(F.count("*").alias("n"), F.min(position()).alias("pos")))
+    classes = tables.store("classes", lines.groupBy("h1", "h2", "chars", "words", "places").agg(F.count("*").alias("n"), F.min(position()).alias("pos")))
     named = classes.select("h1", "h2", "n", "pos").join(groups(docs, classes, min_similarity, tables), F.col("pos") == F.col("node"), "left")
     kept = named.select("h1", "h2", "n", "pos", F.coalesce("component", "pos").alias("kept_pos")).where("n > 1 or pos <> kept_pos").select("h1", "h2", "kept_pos")
     gone = lines.select("doc_id", "line_no", "h1", "h2").join(kept, ["h1", "h2"]).where(position() != F.col("kept_pos"))
@@ -259,7 +277,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", into: str | None = None, **options) -> DataFrame:
     """docs with repeated lines taken out of the text; `into` names a column for the numbers of the lines that went."""
     found, own = unused(docs, "__id"), unused(docs, "__gone")
-    gone = repeated_lines(docs, id_col, text, **options).select(F.col("doc_id").alias(found), F.col("lines").alias(own))
+    gone = repeated_lines(docs, id_col, text, **options).select(F.col("doc_id").alias(found), F.col("lines").alias(own)).hint("shuffle_hash")
     both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(found), "left")
     lines = F.split(F.col(f"`{text}`"), "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
