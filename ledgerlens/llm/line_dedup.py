@@ -252,8 +252,11 @@ def groups(docs: DataFrame, classes: DataFrame, min_similarity: float, tables: T
         before, open_ = tables.paths.pop("open"), tables.store("open", still_open(renamed.select("place", "h1", F.coalesce("new", "component").alias("component"), "chars", "words", "maps")))
         tables.paths[f"open{step}"] = before
         tables.drop(f"open{step}", f"joined{step}")
-    one, two = (open_.select("place", member.alias(k)) for k in "xy")
-    rest = one.join(two, "place").where((F.col("x.component") < F.col("y.component")) & may_match(F.col("x"), F.col("y"), min_similarity, maps=True)).select(*paired(F.col("x"), F.col("y"))).select("h_a", "h_b").distinct().join(star, ["h_a", "h_b"], "left_anti")
+    at = open_.groupBy("h1").agg(F.collect_set("place").alias("at"))
+    one, two = (open_.join(at, "h1").select("place", member.alias(k), F.col("at").alias(f"at_{k}")) for k in "xy")
+    once = F.array_min(F.array_intersect("at_x", "at_y")) == F.col("place")  # a pair that meets at many places is made at one
+    rest = one.join(two, "place").where((F.col("x.component") < F.col("y.component")) & may_match(F.col("x"), F.col("y"), min_similarity, maps=True) & once)
+    rest = rest.select(*paired(F.col("x"), F.col("y"))).select("h_a", "h_b").distinct().join(star, ["h_a", "h_b"], "left_anti")
     more = tables.store("more", verified(rest, texts, min_similarity))
     tables.drop("met", "star", "open", "texts")
     out = tables.store("groups", components(edges.unionByName(more)))
