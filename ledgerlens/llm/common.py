@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,17 @@ def slices(batch: pa.RecordBatch, column: int, most_bytes: int = 16 << 20) -> It
             yield batch.slice(a, b - a)
 
 
+@contextmanager
+def setting(spark: SparkSession, name: str, value: object) -> Iterator[None]:
+    """A setting of the session for a while."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(value))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Tables:
     """Tables in the shared folder that one operator's steps leave for the next ones.
 
@@ -73,14 +85,9 @@ class Tables:
 
     def store(self, name: str, df: DataFrame, level: int = 3) -> DataFrame:
         """df, written and read again. level: of compression."""
-        path, cleanup = f"{shared_dir(self.spark)}/table-{name}-{uuid.uuid4().hex}", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-        self.paths[name] = path
-        before = self.spark.conf.get(cleanup)
-        self.spark.conf.set(cleanup, "true")
-        try:
+        self.paths[name] = path = f"{shared_dir(self.spark)}/table-{name}-{uuid.uuid4().hex}"
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
             df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", str(level)).parquet(path)
-        finally:
-            self.spark.conf.set(cleanup, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:

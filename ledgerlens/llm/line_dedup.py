@@ -37,7 +37,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import Tables, unused
+from ledgerlens.llm.common import Tables, setting, unused
 from ledgerlens.llm.components import components
 
 MIN_SIMILARITY = 0.8
@@ -56,19 +56,17 @@ PAIRS_A_ROW, MAX_ROUNDS = 4, 3
 MAPS = 8
 _LINE_BITS = 4294967296
 _NOT_WORDS = r"[\x00-\x09\x0b-\x2f\x3a-\x60\x7b-\x7f[\x{80}-\x{10ffff}&&[^\p{L}\p{M}\p{N}]]]+"
+#: A single blank before a word stays as it is.
+_ONE_BLANK = r"(?! [a-z0-9[\x{80}-\x{10ffff}&&[\p{L}\p{M}\p{N}]]])"
+#: HotSpot runs larger methods uncompiled, which a line's many blocks would make; Spark then generates smaller ones.
+_METHOD_BYTES = 8000
+#: Joins of partitions of up to so many bytes go by hash, without sorting both sides.
+_HASHED_BYTES = 64 << 20
 
 
 def normalised(text: Column) -> Column:
     """The text, lines normalised but for blanks at either end."""
-    return F.regexp_replace(F.lower(text), _NOT_WORDS, " ")
-
-
-def simhash(words: Column) -> Column:
-    """Bit by bit, what more than half of an array of up to four hashes have set."""
-    x, y, z, u = (F.get(words, k) for k in range(BLOCK_WORDS))
-    three = x.bitwiseAND(y).bitwiseOR(x.bitwiseOR(y).bitwiseAND(z))
-    four = x.bitwiseAND(y).bitwiseAND(z.bitwiseOR(u)).bitwiseOR(z.bitwiseAND(u).bitwiseAND(x.bitwiseOR(y)))
-    return F.when(u.isNotNull(), four).when(z.isNotNull(), three).when(y.isNotNull(), x.bitwiseAND(y)).otherwise(F.coalesce(x, F.lit(0)))
+    return F.regexp_replace(F.lower(text), _ONE_BLANK + _NOT_WORDS, " ")
 
 
 def word_hash(word: Column) -> Column:
@@ -82,21 +80,26 @@ def firsts(n: int) -> list[int]:
     return [(i << 64) // n - (1 << 63) for i in range(n)]
 
 
-def with_firsts(hashes: Column, n: int) -> Column:
-    """The hashes in ascending order, each block's behind the least hash that it could hold."""
-    return F.sort_array(F.concat(hashes, F.array(*[F.lit(x) for x in firsts(n)])))
-
+def with_blocks(lines: DataFrame, n: int, wanted: Column) -> DataFrame:
+    """lines with, for each of n blocks of `hashes`, `n{n}_i`, the number of the words, BLOCK_WORDS at most, that stand for it, and `fp{n}_i`, their SimHash: bit by bit, what more than half of them have set.
 
-def blocks(hashes: Column, n: int) -> Column:
-    """For each of n blocks the SimHash and the number of the words, BLOCK_WORDS at most, that stand for it."""
-    ordered, bits = with_firsts(hashes, n), 64 - (n - 1).bit_length()
-    leading = lambda x: F.shiftrightunsigned(x.bitwiseXOR(F.lit(-(1 << 63))), bits)
+    In ascending order a block's words lie behind the least hash that it could hold. Blocks are written out as columns, as generated code costs a small part of what functions over arrays do.
+    In a block of three words a fourth has all bits set, in one of two a third, in one of one two others: three of four then are more than half of the words.
+    """
+    ordered = F.when(wanted, F.sort_array(F.concat("hashes", F.array(*[F.lit(x) for x in firsts(n)]))))
+    starts = [F.array_position("__ordered", x).cast("int").alias(f"__at{i}") for i, x in enumerate(firsts(n))]
+    placed = lines.withColumn("__ordered", ordered).select("*", *starts, (F.size("__ordered") + 1).alias(f"__at{n}"))
+    sized = placed.select("*", *[F.least(F.col(f"__at{i + 1}") - F.col(f"__at{i}") - 1, F.lit(BLOCK_WORDS)).alias(f"n{n}_{i}") for i in range(n)])
+    missing = lambda i, k: F.lit(0) if k == 0 else F.when(F.col(f"n{n}_{i}") == 3, -1).otherwise(0) if k == 3 else F.lit(-1)
+    word = lambda i, k: F.when(F.col(f"n{n}_{i}") > k, F.get("__ordered", F.col(f"__at{i}") + k)).otherwise(missing(i, k).cast("long")).alias(f"__w{i}_{k}")
+    sizes = [f"n{n}_{i}" for i in range(n)]
+    named = sized.select(*lines.columns, *sizes, *[word(i, k) for i in range(n) for k in range(BLOCK_WORDS)])
 
-    def found(all_words: Column) -> Column:
-        words = F.transform(F.array(*[F.lit(x) for x in firsts(n)]), lambda least, i: F.filter(F.slice(all_words, F.array_position(all_words, least).cast("int") + 1, F.lit(BLOCK_WORDS)), lambda x: leading(x) == i))
-        return F.transform(words, lambda w: F.struct(simhash(w).alias("fp"), F.size(w).alias("n")))
+    def simhash(i: int) -> Column:
+        x, y, z, u = (F.col(f"__w{i}_{k}") for k in range(BLOCK_WORDS))
+        return x.bitwiseAND(y).bitwiseAND(z.bitwiseOR(u)).bitwiseOR(z.bitwiseAND(u).bitwiseAND(x.bitwiseOR(y)))
 
-    return F.get(F.transform(F.array(ordered), found), 0)
+    return named.select(*lines.columns, *sizes, *[simhash(i).alias(f"fp{n}_{i}") for i in range(n)])
 
 
 def all_but_one(hashes: Column) -> Column:
@@ -106,29 +109,24 @@ def all_but_one(hashes: Column) -> Column:
 
 
 def with_places(lines: DataFrame) -> DataFrame:
-    """lines with `places`, hashes of where each meets similar ones. lines: norm and others."""
-    columns, n = lines.columns, F.size("hashes")
-    hashed = lines.withColumn("hashes", F.array_distinct(F.transform(F.split("norm", " "), word_hash)))
-    marked = hashed.select("*", F.when(n.between(TWO_OF_FOUR[0], ONE_OF_FOUR[1]), blocks(F.col("hashes"), 4)).alias("of4"), F.when(n.between(*ONE_OF_EIGHT), blocks(F.col("hashes"), 8)).alias("of8"))
-    two = [F.xxhash64(F.lit(10 * i + j), F.col("of4")[i]["fp"], F.col("of4")[j]["fp"]) for i, j in combinations(range(4), 2)]
-    two = [F.when(n.between(*TWO_OF_FOUR) & (F.col("of4")[i]["n"] + F.col("of4")[j]["n"] >= LEAST_WORDS), x) for (i, j), x in zip(combinations(range(4), 2), two)]
-    single = lambda name: F.transform(F.filter(F.transform(name, lambda b, i: F.struct(i.alias("i"), b["fp"].alias("fp"), b["n"].alias("n"))), lambda b: b["n"] == BLOCK_WORDS), lambda b: F.xxhash64(F.lit(name), b["i"], b["fp"]))
-    none = F.array().cast("array<long>")
-    parts = [
-        F.when(n.between(*ALL_BUT_ONE), all_but_one(F.sort_array("hashes"))).otherwise(none),
-        F.when(n.between(*TWO_OF_FOUR), F.array_compact(F.array(*two))).otherwise(none),
-        F.when(n.between(*ONE_OF_FOUR), single("of4")).otherwise(none),
-        F.when(n.between(*ONE_OF_EIGHT), single("of8")).otherwise(none),
-    ]
-    return marked.select(*columns, F.array_distinct(F.concat(*parts)).alias("places"))
+    """lines with `places`, hashes of where each meets similar ones. lines: words, an array, and others."""
+    columns, n = [c for c in lines.columns if c != "words"], F.size("hashes")
+    hashed = lines.select(*columns, F.array_distinct(F.transform("words", word_hash)).alias("hashes"))
+    marked = with_blocks(with_blocks(hashed, 4, n.between(TWO_OF_FOUR[0], ONE_OF_FOUR[1])), 8, n.between(*ONE_OF_EIGHT))
+    two = [F.when(n.between(*TWO_OF_FOUR) & (F.col(f"n4_{i}") + F.col(f"n4_{j}") >= LEAST_WORDS), F.xxhash64(F.lit(10 * i + j), f"fp4_{i}", f"fp4_{j}")) for i, j in combinations(range(4), 2)]
+    single = lambda k, least, most: [F.when(n.between(least, most) & (F.col(f"n{k}_{i}") == BLOCK_WORDS), F.xxhash64(F.lit(f"of{k}"), F.lit(i), f"fp{k}_{i}")) for i in range(k)]
+    met = F.array(*two, *single(4, *ONE_OF_FOUR), *single(8, *ONE_OF_EIGHT))
+    short = F.when(n.between(*ALL_BUT_ONE), all_but_one(F.sort_array("hashes"))).otherwise(F.array().cast("array<long>"))
+    return marked.select(*columns, F.array_except(F.concat(short, met), F.array(F.lit(None).cast("long"))).alias("places"))  # distinct ones, no nulls
 
 
 def line_rows(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, two hashes of the normalised line, its characters and words and its places, of every line that has words. docs: doc_id, text."""
     lines = docs.where("doc_id is not null and text is not null").select("doc_id", F.posexplode(F.split(normalised(F.col("text")), "\n")).alias("line_no", "line"))
     found = lines.select("doc_id", "line_no", F.trim("line").alias("norm")).where("norm <> ''")
-    sizes = F.length("norm").alias("chars"), F.size(F.split("norm", " ")).alias("words")
-    return with_places(found).select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), *sizes, "places")
+    words = F.split("norm", " ")
+    named = found.select("doc_id", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"), F.length("norm").alias("chars"), words.alias("words"))
+    return with_places(named.withColumn("n_words", F.size("words"))).select("doc_id", "line_no", "h1", "h2", "chars", F.col("n_words").alias("words"), "places")
 
 
 def position(doc_id: str = "doc_id", line_no: str = "line_no") -> Column:
@@ -219,9 +217,10 @@ def paired(one: Column, two: Column) -> list[Column]:
 
 def groups(docs: DataFrame, classes: DataFrame, min_similarity: float, tables: Tables) -> DataFrame:
     """node, component: the group of every class that is near another, by position. docs: doc_id, text; classes: h1, pos, places."""
-    rows = classes.select(F.explode("places").alias("place"), "h1", "chars", "words").repartition("place")
+    rows = classes.select(F.explode("places").alias("place"), "h1", F.shiftleft(F.col("chars").cast("long"), 32).bitwiseOR(F.col("words")).alias("both")).repartition("place")
     sizes = rows.groupBy("place").agg(F.count("*").alias("n"), F.min("h1").alias("first"), F.max("h1").alias("last")).where("first < last").select("place", "n")
-    met = tables.store("met", rows.join(sizes.hint("shuffle_hash"), "place"))
+    unpacked = F.shiftright("both", 32).cast("int").alias("chars"), F.col("both").bitwiseAND((1 << 32) - 1).cast("int").alias("words")
+    met = tables.store("met", rows.join(sizes.hint("shuffle_hash"), "place").select("place", "h1", *unpacked, "n"))
     central = met.groupBy("h1").agg(F.sum("n").alias("weight"))
     centres = met.select("place", "h1", "chars", "words").join(central, "h1").groupBy("place").agg(F.max(F.struct("weight", "h1", "chars", "words")).alias("x"))
     members = met.select("h1").distinct()
@@ -266,7 +265,11 @@ def groups(docs: DataFrame, classes: DataFrame, min_similarity: float, tables: T
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """doc_id, lines: the numbers (from 0) of the lines that go, for documents that lose any."""
-    docs, tables = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), Tables(docs.sparkSession)
+    with setting(docs.sparkSession, "spark.sql.codegen.hugeMethodLimit", _METHOD_BYTES), setting(docs.sparkSession, "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", _HASHED_BYTES):
+        return _repeated_lines(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")), min_similarity, Tables(docs.sparkSession))
+
+
+def _repeated_lines(docs: DataFrame, min_similarity: float, tables: Tables) -> DataFrame:
     lines = tables.store("lines", line_rows(docs))
     classes = tables.store("classes", lines.groupBy("h1", "h2", "chars", "words", "places").agg(F.count("*").alias("n"), F.min(position()).alias("pos")))
     named = classes.select("h1", "h2", "n", "pos").join(groups(docs, classes, min_similarity, tables), F.col("pos") == F.col("node"), "left")
@@ -282,9 +285,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", in
     found, own = unused(docs, "__id"), unused(docs, "__gone")
     gone = repeated_lines(docs, id_col, text, **options).select(F.col("doc_id").alias(found), F.col("lines").alias(own)).hint("shuffle_hash")
     both = docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(found), "left")
-    lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
-    new = F.when(F.col(own).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    left = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(own))
+    joined = F.transform(F.array(F.split(F.col(f"`{text}`"), "\n")), lambda lines: F.array_join(F.transform(left(lines), lambda i: F.get(lines, i)), "\n"))  # a text is split once
+    new = F.when(F.col(own).isNull(), F.col(f"`{text}`")).otherwise(F.get(joined, 0))
     out = [new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns if c != into]
     if into:
         out.append(F.coalesce(own, F.array().cast("array<int>")).alias(into))
